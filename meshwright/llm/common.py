@@ -48,13 +48,17 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop()
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path, before = f"{self.path}/{name}", self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+    def table(self, df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+        """Write ``df`` under these settings and read it again."""
+        path, conf = f"{self.path}/{name}", {CLEANUP: "true"} | (conf or {})
+        before = {k: self.spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

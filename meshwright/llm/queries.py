@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meshwright.llm import token_orc
+
+    return token_orc.written(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import url_trie
 
@@ -25,14 +33,30 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import wumanber
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wumanber.digest(wumanber.marked(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import line_clean
 
     return line_clean.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_orc": op2_token_orc,
     "op4_url_trie": op4_url_trie,
     "op7_secret_scan": op7_secret_scan,
+    "op8_wu_manber": op8_wu_manber,
     "op9_line_clean": op9_line_clean,
+    "op10_minhash": op10_minhash,
 }
