@@ -27,6 +27,12 @@ def op4_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import suffix_index
+
+    return suffix_index.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import secrets
 
@@ -55,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_orc": op2_token_orc,
     "op4_url_trie": op4_url_trie,
+    "op5_suffix_index": op5_suffix_index,
     "op7_secret_scan": op7_secret_scan,
     "op8_wu_manber": op8_wu_manber,
     "op9_line_clean": op9_line_clean,
