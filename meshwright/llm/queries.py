@@ -21,6 +21,12 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.written(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import shard
+
+    return shard.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import url_trie
 
@@ -60,6 +66,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_orc": op2_token_orc,
+    "op3_label_propagation": op3_label_propagation,
     "op4_url_trie": op4_url_trie,
     "op5_suffix_index": op5_suffix_index,
     "op7_secret_scan": op7_secret_scan,
