@@ -31,6 +31,8 @@ SHARDS = 24
 ROUNDS = 8
 EXTRA = 8
 GAINS, GROUP_SLICES, MEMBER_SLICES = 32, 16, 128
+#: A shard attracts movers while its room is over 1/ROOM_SHARE of the mean, which is more than a slice of a hot group.
+ROOM_SHARE = 12
 #: Size classes of the last filling, as shares of the mean shard size.
 CLASSES = (64, 1024, 16384)
 ROWS_A_SLICE = 20_000
@@ -65,7 +67,7 @@ def propagated(linked: DataFrame, scratch: Scratch, shards: int, mean: int, roun
     for k in range(rounds):
         room = [max(0, mean - x) for x in now]
         counts = linked.groupBy("group", "shard").agg(F.count("*").alias("c"))
-        open_ = number_at(room, F.col("shard")) > 0
+        open_ = number_at(room, F.col("shard")) * ROOM_SHARE > mean
         best = F.max(F.when(open_, F.struct("c", F.xxhash64("group", "shard").alias("h"), "shard"))).alias("best")
         targets = counts.groupBy("group").agg(best, F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("on"), F.sum("c").alias("weight"))
         targets = scratch.table(targets.where(F.col("best").isNotNull() & (F.size("on") > 1)), f"targets{k}")
