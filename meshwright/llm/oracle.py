@@ -19,4 +19,37 @@ SELECT s.page_id, s.host, s.path, m.rule AS rule, coalesce(m.v, 'allow') AS verd
 FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.k = 1
 """
 
-ORACLE: dict[str, str] = {"op4_url_trie": OP4}
+OP1 = r"""
+WITH p AS (
+  SELECT page_id, url, strlen(html) AS n, length(url) % 6 AS kind, '"' || md5(html)[1:16] || '"' AS tag, 'day ' || (page_id // 7) AS stamp,
+    regexp_replace(url, '#.*$', '') AS bare FROM pages
+), c AS (
+  SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM p
+), d AS (
+  SELECT *, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host0, regexp_extract(rest, '^[^/?]*(.*)$', 1) AS path0 FROM c
+), e AS (
+  SELECT *, scheme || '://' ||
+    CASE WHEN scheme = 'http' THEN regexp_replace(host0, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host0, ':443$', '') ELSE host0 END ||
+    CASE WHEN starts_with(path0, '/') THEN path0 ELSE '/' || path0 END AS canon FROM d
+), f AS (
+  SELECT 2 * page_id AS id, canon, 10 * page_id AS ts, tag, stamp, n FROM e
+), r AS (
+  SELECT 2 * page_id + 1 AS record_id, canon, 10 * page_id + CASE WHEN kind = 5 THEN -5 ELSE 5 END AS ts, page_id,
+    CASE WHEN kind IN (0, 5) THEN tag WHEN kind = 1 THEN 'W/' || tag WHEN kind = 3 THEN '"other"' END AS sent, CASE WHEN kind = 2 THEN stamp END AS sent_stamp FROM e
+), j AS (
+  SELECT r.*, f.id, f.tag, f.stamp, f.n FROM r ASOF LEFT JOIN f ON r.canon = f.canon AND r.ts > f.ts
+), k AS (
+  SELECT *, CASE WHEN id IS NULL THEN 'no response'
+    WHEN sent IS NOT NULL THEN CASE WHEN regexp_replace(sent, '^W/', '') = tag THEN 'etag' ELSE 'mismatch' END
+    WHEN sent_stamp IS NOT NULL THEN CASE WHEN sent_stamp = stamp THEN 'last-modified' ELSE 'mismatch' END
+    ELSE 'none' END AS "check" FROM j
+), l AS (
+  SELECT *, "check" IN ('etag', 'last-modified') AS resolved FROM k
+)
+SELECT record_id, canon AS url, id AS refers_to, "check", resolved,
+  CASE WHEN resolved THEN 'cache-control: max-age=' || page_id || '; content-length: ' || n || '; content-type: text/html; etag: ' || coalesce(sent, tag) || '; last-modified: ' || coalesce(sent_stamp, stamp)
+  ELSE concat_ws('; ', 'cache-control: max-age=' || page_id, 'content-length: 0', 'etag: ' || sent, 'last-modified: ' || sent_stamp) END AS headers
+FROM l
+"""
+
+ORACLE: dict[str, str] = {"op1_revisits": OP1, "op4_url_trie": OP4}

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import warc
+
+    return warc.digest(warc.resolve(warc.captures_of(table(spark, sf_dir, "pages"))))
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,14 @@ def op5_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meshwright.llm import unigram
+
+    return unigram.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import secrets
 
@@ -64,13 +78,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op2_token_orc": op2_token_orc,
     "op3_label_propagation": op3_label_propagation,
     "op4_url_trie": op4_url_trie,
     "op5_suffix_index": op5_suffix_index,
+    "op6_unigram": op6_unigram,
     "op7_secret_scan": op7_secret_scan,
     "op8_wu_manber": op8_wu_manber,
     "op9_line_clean": op9_line_clean,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
