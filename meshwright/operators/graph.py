@@ -37,3 +37,102 @@ def connected_components(edges: DataFrame, cut: Cut = checkpointed, src: str = "
         if labels.where("old != component").limit(1).count() == 0:
             return labels.select("id", "component")
         labels = labels.select("id", "component")
+
+
+def dual_mesh(cells: DataFrame) -> DataFrame:
+    """(vertex, cell): the cells around each vertex, from cells (cell_id, nodes)."""
+    return cells.select("cell_id", F.explode("nodes").alias("vertex")).select("vertex", "cell_id").distinct()
+
+
+def dual_graph(incidence: DataFrame, least: int, include_self: bool = False) -> DataFrame:
+    """(cell, neighbour, shared): cells that share at least ``least`` vertices.
+
+    A vertex with very many cells makes as many pairs as a cell graph needs; meshes have few
+    cells around a vertex, and for other tables ``least`` is counted after a partial sum.
+    """
+    other = incidence.select("vertex", F.col("cell_id").alias("neighbour"))
+    pairs = incidence.join(other, "vertex")
+    pairs = pairs if include_self else pairs.where("cell_id != neighbour")
+    return pairs.groupBy("cell_id", "neighbour").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def quotient_graph(graph: DataFrame, parts: DataFrame, include_self: bool = False) -> DataFrame:
+    """(part, neighbour_part, links) of a cell graph under parts (cell_id, part)."""
+    a = graph.join(parts, "cell_id").join(parts.select(F.col("cell_id").alias("neighbour"), F.col("part").alias("neighbour_part")), "neighbour")
+    a = a if include_self else a.where("part != neighbour_part")
+    return a.groupBy("part", "neighbour_part").agg(F.count("*").alias("links"))
+
+
+def parts_around(incidence: DataFrame, parts: DataFrame) -> DataFrame:
+    """(vertex, parts): the sorted parts around each vertex."""
+    return incidence.join(parts, "cell_id").groupBy("vertex").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+
+
+def interface(incidence: DataFrame, parts: DataFrame) -> DataFrame:
+    """Vertices that several parts touch."""
+    return parts_around(incidence, parts).where(F.size("parts") > 1)
+
+
+def interface_objects(incidence: DataFrame, parts: DataFrame) -> DataFrame:
+    """(parts, vertices, object_id): interface vertices with equal part lists, numbered in the order of the lists."""
+    from pyspark.sql import Window as W
+
+    objects = interface(incidence, parts).groupBy("parts").agg(F.count("*").alias("vertices"))
+    return objects.withColumn("object_id", F.row_number().over(W.orderBy("parts")))
+
+
+def boundary_facets(facets: DataFrame) -> DataFrame:
+    """Facets with exactly one cell around, from (facet, cell_id)."""
+    return facets.groupBy("facet").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).where("n = 1").select("facet", "cell_id")
+
+
+def strips(ids: DataFrame, key: str, parts: int) -> DataFrame:
+    """Contiguous strips of nearly equal size in the order of ``key``; part ids from 1."""
+    from pyspark.sql import Window as W
+
+    return ids.select(key, F.ntile(parts).over(W.orderBy(key)).alias("part"))
+
+
+def bfs_levels(edges: DataFrame, root: int, cut: Cut = checkpointed) -> DataFrame:
+    """(id, level) of all vertices that can be reached from ``root`` over edges (src, dst) in both directions."""
+    e = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    seen = e.sparkSession.createDataFrame([(root, 0)], "id long, level int")
+    front, k = seen, 0
+    while True:
+        k += 1
+        near = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = cut(near.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("level")), f"front{k}")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def reverse_cuthill_mckee(edges: DataFrame, root: int, cut: Cut = checkpointed) -> DataFrame:
+    """(id, rank): vertices by level from the root, then degree, then id, all turned round.
+
+    The classic order visits neighbours of each vertex in turn; within a level this one orders by
+    degree, which gives the same bandwidth bound, the width of two levels."""
+    from pyspark.sql import Window as W
+
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    ranked = bfs_levels(edges, root, cut).join(degree, "id", "left")
+    return ranked.select("id", F.row_number().over(W.orderBy(F.desc("level"), F.desc("degree"), F.desc("id"))).alias("rank"))
+
+
+def colouring(edges: DataFrame, cut: Cut = checkpointed, rounds: int = 100) -> DataFrame:
+    """(id, colour): in each round the uncoloured vertices whose hash is greatest among their uncoloured
+    neighbours take the least colour that no neighbour has."""
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct(), "edges")
+    state = both.select(F.col("src").alias("id")).distinct().withColumn("colour", F.lit(None).cast("int"))
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    for k in range(rounds):
+        state = cut(state, f"state{k}")
+        if state.where("colour IS NULL").isEmpty():
+            break
+        near = both.join(state.select(F.col("id").alias("dst"), F.col("colour").alias("c")), "dst").groupBy("src").agg(F.collect_set("c").alias("taken"), F.max(F.when(F.col("c").isNull(), rank("dst"))).alias("top"))
+        joined = state.join(near, state.id == near.src)
+        wins = F.col("colour").isNull() & (F.col("top").isNull() | (rank("id") > F.col("top")))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken")))
+        state = joined.select("id", F.when(wins, free).otherwise(F.col("colour")).alias("colour"))
+    return state
