@@ -1,4 +1,7 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+Order lines stand for matrix entries (part, supplier, quantity) and for the incidence of cells
+(orders) and vertices (parts); balances and prices stand for vectors, nations for parts."""
 
 from __future__ import annotations
 
@@ -7,15 +10,381 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.functions import fields, levelsets
+from meshwright.operators import constraints, cut, graph, norms, numbering, sparse, vector
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def coo_compress_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ia"), F.col("l_suppkey").alias("ja"), F.col("l_quantity").alias("val"))
-    return t.groupBy("ia", "ja").agg(F.sum("val").alias("val"))
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(F.col("l_partkey").alias("ia"), F.col("l_suppkey").alias("ja"), F.col("l_quantity").alias("val"))
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("val"))
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("val"))
+
+
+def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(F.col("l_partkey").alias("vertex"), F.col("l_orderkey").alias("cell_id")).distinct()
+
+
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("cell_id"), F.col("c_nationkey").alias("part"))
+
+
+def multivector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embeddings")
+    return t.select((F.col("vec_id") + 1).alias("idx"), F.posexplode("embedding").alias("k", "v")).select("k", "idx", F.col("v").cast("double").alias("val"))
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+M = "(SELECT l_partkey AS ia, l_suppkey AS ja, l_quantity AS val FROM lineitem)"
+X = "(SELECT s_suppkey AS idx, s_acctbal AS val FROM supplier)"
+P = "(SELECT p_partkey AS idx, p_retailprice AS val FROM part)"
+INC = "(SELECT DISTINCT l_partkey AS vertex, l_orderkey AS cell_id FROM lineitem)"
+PARTS = "(SELECT o_orderkey AS cell_id, c_nationkey AS part FROM orders JOIN customer ON o_custkey = c_custkey)"
+MV = "(SELECT unnest(range(len(embedding)))::int AS k, vec_id + 1 AS idx, unnest(embedding)::double AS val FROM embeddings)"
+
+
+@query(f"SELECT ia, ja, sum(val) AS val FROM {M} GROUP BY 1, 2")
+def coo_compress_sum(spark, d):
+    return sparse.compress(matrix(spark, d))
+
+
+@query("SELECT l_partkey AS ia, l_suppkey AS ja, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS val FROM lineitem GROUP BY 1, 2")
+def coo_compress_last(spark, d):
+    t = table(spark, d, "lineitem")
+    return sparse.compress_last(t.select(F.col("l_partkey").alias("ia"), F.col("l_suppkey").alias("ja"), F.col("l_quantity").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
+
+
+@query(f"SELECT ia, ja, sum(val) AS val FROM {M} WHERE ia BETWEEN 1 AND 80 AND ja BETWEEN 1 AND 80 AND ia BETWEEN 5 AND 70 AND ja BETWEEN 2 AND 60 AND ia <= ja GROUP BY 1, 2")
+def coo_insert_filtered(spark, d):
+    return sparse.compress(sparse.insert(matrix(spark, d), 80, 80, (5, 70, 2, 60), symmetric=True))
+
+
+@query(f"SELECT DISTINCT ia, ja FROM {M}")
+def coo_pattern(spark, d):
+    return sparse.pattern(matrix(spark, d))
+
+
+@query(f"SELECT ia AS idx, round(sum(m.val * x.val), 4) AS val FROM {M} m JOIN {X} x ON m.ja = x.idx GROUP BY 1")
+def spmv(spark, d):
+    return rounded(sparse.spmv(matrix(spark, d), suppliers(spark, d)), "val")
+
+
+@query(f"SELECT ja AS idx, round(sum(m.val * x.val), 3) AS val FROM {M} m JOIN {P} x ON m.ia = x.idx GROUP BY 1")
+def spmv_t(spark, d):
+    return rounded(sparse.spmv(matrix(spark, d), prices(spark, d), transposed=True), "val", digits=3)
+
+
+@query(f"SELECT i AS idx, round(sum(v * x.val), 4) AS val FROM (SELECT ia AS i, ja AS j, val AS v FROM {M} WHERE ia <= ja UNION ALL SELECT ja, ia, val FROM {M} WHERE ia < ja) m JOIN {P} x ON j = x.idx GROUP BY 1")
+def spmv_symmetric(spark, d):
+    return rounded(sparse.spmv(sparse.insert(matrix(spark, d), symmetric=True), prices(spark, d), symmetric=True), "val")
+
+
+@query(f"SELECT x.k, ia AS idx, round(sum(m.val * x.val), 4) AS val FROM {M} m JOIN {MV} x ON m.ja = x.idx GROUP BY 1, 2")
+def spmm_dense(spark, d):
+    return rounded(sparse.spmm(matrix(spark, d), multivector(spark, d)), "val")
+
+
+@query(f"SELECT k, idx, round(sum(val), 4) AS val FROM (SELECT x.k, ia AS idx, 2 * m.val * x.val AS val FROM {M} m JOIN {MV} x ON m.ja = x.idx UNION ALL SELECT k, idx, -0.5 * val FROM {MV}) GROUP BY 1, 2")
+def gemm_update(spark, d):
+    v = multivector(spark, d)
+    return rounded(sparse.gemm(matrix(spark, d), v, v, 2.0, -0.5), "val")
+
+
+@query("SELECT l_partkey AS ia, l_suppkey AS ja, sum(CASE l_returnflag WHEN 'A' THEN 2 * l_quantity ELSE -l_quantity END) AS val FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2")
+def mat_add(spark, d):
+    t = table(spark, d, "lineitem")
+    one = lambda f: t.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("ia"), F.col("l_suppkey").alias("ja"), F.col("l_quantity").alias("val"))
+    return sparse.add(one("A"), one("R"), 2.0, -1.0)
+
+
+@query(f"SELECT CASE WHEN ia <= 1000 THEN 'I' ELSE 'G' END || CASE WHEN ja <= 50 THEN 'I' ELSE 'G' END AS block, CASE WHEN ia <= 1000 THEN ia ELSE ia - 1000 END AS ia, CASE WHEN ja <= 50 THEN ja ELSE ja - 50 END AS ja, val FROM (SELECT ia, ja, sum(val) AS val FROM {M} GROUP BY 1, 2)")
+def split_2x2(spark, d):
+    return sparse.split_2x2(sparse.compress(matrix(spark, d)), 1000, 50)
+
+
+@query(f"WITH m AS (SELECT ia, ja, sum(val) AS val FROM {M} GROUP BY 1, 2) SELECT ia, ja, val FROM m UNION ALL SELECT ia, ja + 100000, val FROM m UNION ALL SELECT ja + 100000, ia, val FROM m UNION ALL SELECT idx + 100000, idx + 100000, 1.0 FROM {X}")
+def expand_matrix(spark, d):
+    m = sparse.compress(matrix(spark, d))
+    eye = suppliers(spark, d).select(F.col("idx").alias("ia"), F.col("idx").alias("ja"), F.lit(1.0).alias("val"))
+    return sparse.expand(m, 100_000, m, eye)
+
+
+@query(f"SELECT idx, coalesce(v, 0.0) AS val FROM {P} LEFT JOIN (SELECT ia, sum(val) AS v FROM {M} WHERE ia = ja GROUP BY 1) ON ia = idx")
+def extract_diagonal(spark, d):
+    return sparse.diagonal(sparse.compress(matrix(spark, d)), prices(spark, d).select("idx"))
+
+
+@query(f"SELECT ia, ja, sum(val) AS val FROM {M} WHERE ia = 7 AND ja = 3 GROUP BY 1, 2")
+def get_entry(spark, d):
+    return sparse.entry(sparse.compress(matrix(spark, d)), 7, 3)
+
+
+@query(f"SELECT ja AS ia, ia AS ja, sum(val) AS val FROM {M} GROUP BY 1, 2")
+def transpose(spark, d):
+    return sparse.transpose(sparse.compress(matrix(spark, d)))
+
+
+@query(f"WITH p AS (SELECT idx AS old, row_number() OVER (ORDER BY val DESC, idx) AS new FROM {P}) SELECT a.new AS ia, b.new AS ja, sum(m.val) AS val FROM {M} m JOIN p a ON a.old = m.ia JOIN p b ON b.old = m.ja GROUP BY 1, 2")
+def permute_matrix(spark, d):
+    from pyspark.sql import Window as W
+
+    perm = prices(spark, d).select(F.col("idx").alias("old"), F.row_number().over(W.orderBy(F.desc("val"), "idx")).cast("long").alias("new"))
+    return sparse.compress(sparse.permute(matrix(spark, d), perm))
+
+
+@query(f"SELECT ia, count(*) AS n_entries, min(ja) AS first_col, max(ja) AS last_col FROM (SELECT DISTINCT ia, ja FROM {M}) GROUP BY 1")
+def csr_rows(spark, d):
+    rows = sparse.csr_rows(sparse.compress(matrix(spark, d)))
+    return rows.select("ia", F.size("entries").cast("long").alias("n_entries"), F.get("entries", 0)["ja"].alias("first_col"), F.get("entries", F.size("entries") - 1)["ja"].alias("last_col"))
+
+
+@query("WITH a AS (SELECT l_suppkey AS i, l_linenumber AS j, sum(l_quantity) / 1000 AS v FROM lineitem GROUP BY 1, 2), k AS (SELECT s_suppkey AS i, s_nationkey AS j, s_acctbal / 10000 AS v FROM supplier) SELECT p.j AS ia, q.j AS ja, round(sum(p.v * g.v * q.v), 3) AS val FROM (SELECT a.i, b.i AS i2, sum(a.v * b.v) AS v FROM a JOIN a b ON a.j = b.j GROUP BY 1, 2) g JOIN k p ON p.i = g.i JOIN k q ON q.i = g.i2 GROUP BY 1, 2")
+def triple_product(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg((F.sum("l_quantity") / 1000).alias("v"))
+    a = t.join(t.select(F.col("l_suppkey").alias("s2"), "l_linenumber", F.col("v").alias("v2")), "l_linenumber").groupBy(F.col("l_suppkey").alias("ia"), F.col("s2").alias("ja")).agg(F.sum(F.col("v") * F.col("v2")).alias("val"))
+    k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ia"), F.col("s_nationkey").alias("ja"), (F.col("s_acctbal") / 10000).alias("val"))
+    return rounded(sparse.triple_product(a, k), "val", digits=3)
+
+
+@query(f"SELECT round(sum(x.val * p.val), 2) AS val FROM {X} x JOIN {P} p ON x.idx = p.idx")
+def dot(spark, d):
+    return rounded(vector.dot(suppliers(spark, d), prices(spark, d)), "val", digits=2)
+
+
+@query(f"SELECT idx, round(sum(val), 4) AS val FROM (SELECT idx, 2.0 * val AS val FROM {X} UNION ALL SELECT idx, -0.5 * val FROM {P}) GROUP BY 1")
+def axpby(spark, d):
+    return rounded(vector.axpby(2.0, suppliers(spark, d), -0.5, prices(spark, d)), "val")
+
+
+@query(f"SELECT round(sqrt(sum(val * val)), 4) AS val FROM {P}")
+def nrm2(spark, d):
+    return rounded(vector.nrm2(prices(spark, d)), "val")
+
+
+@query(f"SELECT m.k, round(sum(m.val * x.val), 4) AS val FROM {MV} m JOIN {X} x ON m.idx = x.idx GROUP BY 1")
+def multidot(spark, d):
+    return rounded(vector.multidot(multivector(spark, d), suppliers(spark, d)), "val")
+
+
+@query(f"SELECT idx, round(sum(val), 4) AS val FROM (SELECT idx, val FROM {P} UNION ALL SELECT idx, 0.5 * (k + 1) * val FROM {MV}) GROUP BY 1")
+def multiaxpy(spark, d):
+    v = multivector(spark, d)
+    factors = v.select("k").distinct().select("k", (F.col("k") + 1.0).alias("s"))
+    return rounded(vector.multiaxpy(prices(spark, d), 0.5, v, factors), "val")
+
+
+@query(f"SELECT x.idx, round(x.val * p.val, 4) AS val FROM {X} x JOIN {P} p ON x.idx = p.idx")
+def hadamard(spark, d):
+    return rounded(vector.hadamard(suppliers(spark, d), prices(spark, d)), "val")
+
+
+@query(f"SELECT idx, round(1.0 / val, 10) AS val FROM {P}")
+def invert_vector(spark, d):
+    return rounded(vector.invert(prices(spark, d)), "val", digits=10)
+
+
+@query("SELECT p_partkey AS cell_id, p_size AS set_id FROM part WHERE p_size = 7")
+def predicate_scan(spark, d):
+    return table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("set_id"))
+
+
+@query(f"SELECT vertex, cell_id FROM {INC}")
+def dual_mesh(spark, d):
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(F.collect_list("l_partkey").alias("nodes"))
+    return graph.dual_mesh(cells)
+
+
+@query(f"WITH i AS {INC} SELECT a.cell_id, b.cell_id AS neighbour, count(*) AS shared FROM i a JOIN i b ON a.vertex = b.vertex AND a.cell_id <> b.cell_id GROUP BY 1, 2 HAVING count(*) >= 2")
+def dual_graph(spark, d):
+    return graph.dual_graph(incidence(spark, d), 2)
+
+
+@query(f"WITH i AS {INC}, p AS {PARTS}, g AS (SELECT a.cell_id, b.cell_id AS neighbour FROM i a JOIN i b ON a.vertex = b.vertex AND a.cell_id <> b.cell_id GROUP BY 1, 2 HAVING count(*) >= 2) SELECT x.part, y.part AS neighbour_part, count(*) AS links FROM g JOIN p x ON x.cell_id = g.cell_id JOIN p y ON y.cell_id = g.neighbour WHERE x.part <> y.part GROUP BY 1, 2")
+def quotient_graph(spark, d):
+    return graph.quotient_graph(graph.dual_graph(incidence(spark, d), 2), order_parts(spark, d))
+
+
+@query(f"SELECT vertex, count(DISTINCT part) AS n_parts, string_agg(DISTINCT part::varchar, ',' ORDER BY part::varchar) AS parts FROM {INC} JOIN {PARTS} USING (cell_id) GROUP BY 1 HAVING count(DISTINCT part) > 1")
+def interface_nodes(spark, d):
+    text = F.transform("parts", lambda x: x.cast("string"))
+    return graph.interface(incidence(spark, d), order_parts(spark, d)).select("vertex", F.size("parts").cast("long").alias("n_parts"), F.array_join(F.array_sort(text), ",").alias("parts"))
+
+
+@query("WITH i AS (SELECT DISTINCT l_orderkey AS vertex, l_suppkey AS cell_id FROM lineitem), p AS (SELECT s_suppkey AS cell_id, n_regionkey AS part FROM supplier JOIN nation ON s_nationkey = n_nationkey), v AS (SELECT vertex, list_sort(list(DISTINCT part)) AS parts FROM i JOIN p USING (cell_id) GROUP BY 1), o AS (SELECT parts, count(*) AS vertices FROM v WHERE len(parts) > 1 GROUP BY 1) SELECT array_to_string(parts, ',') AS parts, vertices, row_number() OVER (ORDER BY parts) AS object_id FROM o")
+def interface_objects(spark, d):
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("vertex"), F.col("l_suppkey").alias("cell_id")).distinct()
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    parts = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").alias("part"))
+    out = graph.interface_objects(inc, parts)
+    return out.select(F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "vertices", F.col("object_id").cast("long").alias("object_id"))
+
+
+@query("SELECT l_partkey * 1000000 + l_suppkey AS facet, min(l_orderkey) AS cell_id FROM lineitem GROUP BY 1 HAVING count(*) = 1")
+def boundary_facets(spark, d):
+    t = table(spark, d, "lineitem")
+    return graph.boundary_facets(t.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("facet"), F.col("l_orderkey").alias("cell_id")))
+
+
+@query("WITH e AS (SELECT o_orderkey AS a, o_custkey + 1000000000000 AS b FROM orders), m AS (SELECT b, min(a) AS component FROM e GROUP BY 1) SELECT a AS id, component FROM e JOIN m ON e.b = m.b UNION ALL SELECT b, component FROM m")
+def connected_components(spark, d):
+    from meshwright.plans.lineage import Tables
+
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 1_000_000_000_000).alias("dst"))
+    return graph.connected_components(e, Tables(spark).cut)
+
+
+@query("SELECT o_orderkey AS cell_id, ntile(7) OVER (ORDER BY o_orderkey) AS part FROM orders")
+def strip_partition(spark, d):
+    return graph.strips(table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id")), "cell_id", 7)
+
+
+@query("SELECT c_nationkey AS part, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS lid, c_custkey AS gid FROM customer")
+def l2g_numbering(spark, d):
+    return numbering.local_to_global(table(spark, d, "customer").select(F.col("c_nationkey").alias("part"), F.col("c_custkey").alias("gid")), "part", "gid")
+
+
+@query("WITH t AS (SELECT l_orderkey AS cell_id, c_nationkey AS part, l_partkey AS vertex, l_linenumber AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), f AS (SELECT part, vertex, cell_id, pos, row_number() OVER (PARTITION BY part, vertex ORDER BY cell_id, pos) AS k FROM t) SELECT part, vertex, row_number() OVER (PARTITION BY part ORDER BY cell_id, pos, vertex) AS lid FROM f WHERE k = 1")
+def first_touch_numbering(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("nodes"))
+    return numbering.first_touch(lines.join(order_parts(spark, d), "cell_id"))
+
+
+@query("WITH n AS (SELECT l_orderkey AS cell_id, count(*) AS len FROM lineitem GROUP BY 1) SELECT cell_id, 1 + sum(len) OVER (ORDER BY cell_id) - len AS start FROM n")
+def prefix_offsets(spark, d):
+    return numbering.offsets(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(F.count("*").alias("len")), "cell_id", "len")
+
+
+@query("SELECT c_nationkey AS part, c_custkey AS dof, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_acctbal < 0)::int, c_custkey) AS new_id FROM customer")
+def interior_first(spark, d):
+    t = table(spark, d, "customer").select(F.col("c_nationkey").alias("part"), F.col("c_custkey").alias("dof"), (F.col("c_acctbal") < 0).alias("edge"))
+    return numbering.interior_first(t, "part", "dof", "edge")
+
+
+@query("WITH l AS (SELECT c_nationkey AS part, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS lid FROM customer), n AS (SELECT part, count(*) AS n FROM l GROUP BY 1), b AS (SELECT part, sum(n) OVER (ORDER BY part) - n AS o FROM n) SELECT l.part, l.lid, (l.lid + b.o)::bigint AS gid FROM l JOIN b ON l.part = b.part")
+def global_numbering(spark, d):
+    local = numbering.local_to_global(table(spark, d, "customer").select(F.col("c_nationkey").alias("part"), F.col("c_custkey").alias("c")), "part", "c")
+    return numbering.global_ids(local, "part", "lid")
+
+
+@query("SELECT l_returnflag AS region, round(sum(w * e), 2) AS mean, round(sum(w * abs(e)), 2) AS l1, round(sqrt(sum(w * e * e)), 4) AS l2, round(max(abs(e)), 4) AS linfty, round(pow(sum(w * pow(abs(e), 3)), 1.0 / 3), 4) AS lp FROM (SELECT l_returnflag, l_tax + 0.01 AS w, l_quantity / 10 - 2.5 AS e FROM lineitem) GROUP BY 1")
+def error_norms(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("region"), (F.col("l_tax") + 0.01).alias("w"), (F.col("l_quantity") / 10 - 2.5).alias("e"))
+    out = t.groupBy("region").agg(*(norms.norm(n, p=3.0).alias(n) for n in ("mean", "l1", "l2", "linfty", "lp")))
+    return rounded(rounded(out, "mean", "l1", digits=2), "l2", "linfty", "lp")
+
+
+@query("WITH r AS (SELECT c_custkey AS cell_id, row_number() OVER (ORDER BY c_acctbal * c_acctbal, c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT cell_id, CASE WHEN k > n - floor(n * 0.1) THEN 1 WHEN k <= floor(n * 0.05) THEN -1 ELSE 0 END AS flag FROM r")
+def fixed_fraction_marking(spark, d):
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), (F.col("c_acctbal") * F.col("c_acctbal")).alias("est"))
+    return norms.fixed_fraction(t, 0.1, 0.05)
+
+
+@query("WITH e AS (SELECT c_custkey AS cell_id, abs(c_acctbal) / 10000 AS est FROM customer), s AS (SELECT sum(pow(est, 1.0)) AS s FROM e) SELECT cell_id, CASE WHEN est > 2.0 / sqrt(pow(2.0, -2.0) * pow(s, 2.0)) THEN 1 ELSE 0 END AS flag FROM e, s")
+def li_bettess_marking(spark, d):
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), (F.abs("c_acctbal") / 10000).alias("est"))
+    return norms.li_bettess(t, 2.0, 2, 1)
+
+
+@query("SELECT p_partkey AS cell_id, round(sqrt(sum(l_extendedprice)) / nullif(sqrt(max(p_size) - 1), 0), 6) AS effectivity FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")
+def effectivity(spark, d):
+    est = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("cell_id")).agg(F.sum("l_extendedprice").alias("sq_est"))
+    err = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), (F.col("p_size") - 1).cast("double").alias("sq_err"))
+    return rounded(norms.effectivity(est, err), "effectivity", digits=6)
+
+
+@query("WITH v AS (SELECT l_orderkey AS cell_id, l_quantity - 25 AS phi FROM lineitem), s AS (SELECT cell_id, min(phi) AS lo, max(phi) AS hi FROM v GROUP BY 1) SELECT cell_id, CASE WHEN lo < 0 AND hi > 0 THEN 'cut' WHEN hi <= 0 THEN 'interior' ELSE 'exterior' END AS status FROM s")
+def cut_classification(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(F.collect_list(F.col("l_quantity") - 25).alias("phi"))
+    return t.select("cell_id", cut.status(F.col("phi")).alias("status"))
+
+
+@query("SELECT r_regionkey + 1000 AS dof_id, round(sum(n_nationkey * 0.5 * (n_nationkey + 1)), 6) AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def constraint_apply(spark, d):
+    n = table(spark, d, "nation")
+    c = n.select((F.col("n_regionkey") + 1000).alias("dof_id"), F.col("n_nationkey").alias("master_id"), (F.col("n_nationkey") * 0.5).alias("coeff"))
+    return rounded(constraints.hanging_values(c, n.select(F.col("n_nationkey").alias("dof_id"), (F.col("n_nationkey") + 1.0).alias("value"))), "value", digits=6)
+
+
+def grid_points(spark, d):
+    t = table(spark, d, "part")
+    return t.select(F.col("p_partkey").alias("point_id"), (F.col("p_partkey") % 41 / 20.0 - 1).alias("x"), (F.col("p_partkey") % 37 / 18.0 - 1).alias("y"), (F.col("p_size") / 25.0 - 1).alias("z"), (F.col("p_partkey") % 5).cast("double").alias("t"))
+
+
+GRID = "(SELECT p_partkey AS point_id, p_partkey % 41 / 20.0::double - 1 AS x, p_partkey % 37 / 18.0::double - 1 AS y, p_size / 25.0::double - 1 AS z, (p_partkey % 5)::double AS t FROM part)"
+
+
+@query(f"SELECT point_id, round(sqrt(x * x + y * y + z * z) - 0.75, 8) AS sphere, round(sqrt(x * x + y * y) - 0.5, 8) AS cylinder FROM {GRID}")
+def level_set_sphere(spark, d):
+    p = grid_points(spark, d)
+    return rounded(p.select("point_id", levelsets.by_name("sphere", 0.75).alias("sphere"), levelsets.by_name("cylinder", 0.5).alias("cylinder")), "sphere", "cylinder", digits=8)
+
+
+@query(f"SELECT point_id, round((1 + x) * ((2 + y) * (3 + z) - x * y) - y * (x * (3 + z) - x * z) + z * (x * y - (2 + y) * z), 8) AS det FROM {GRID}")
+def jacobian_det(spark, d):
+    row = lambda *v: F.array(*v)
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    j = F.array(row(1 + x, y, z), row(x, 2 + y, x), row(z, y, 3 + z))
+    return rounded(grid_points(spark, d).select("point_id", fields.determinant(j, 3).alias("det")), "det", digits=8)
+
+
+@query(f"SELECT point_id, round(sin(x) * exp(y) + pow(z, 2) - 3 * t, 8) AS value FROM {GRID}")
+def expr_parser(spark, d):
+    return rounded(grid_points(spark, d).select("point_id", fields.parsed("sin(x)*exp(y) + z^2 - 3*t").alias("value")), "value", digits=8)
+
+
+@query(f"SELECT point_id, round(x * y + y * z + z * x, 8) AS inner_product, round(y * x - z * z, 8) AS cross_x, round(sqrt(x * x + y * y + z * z), 8) AS length FROM {GRID}")
+def tensor_algebra(spark, d):
+    p = grid_points(spark, d).withColumn("v", F.array("x", "y", "z")).withColumn("w", F.array("y", "z", "x"))
+    out = p.select("point_id", fields.inner(F.col("v"), F.col("w")).alias("inner_product"), F.get(fields.cross(F.col("v"), F.col("w")), 0).alias("cross_x"), fields.norm(F.col("v")).alias("length"))
+    return rounded(out, "inner_product", "cross_x", "length", digits=8)
+
+
+@query()
+def poisson_q1(spark, d):
+    """Poisson on an 8x8 grid with a linear solution: (idx, val) of all unknowns."""
+    from meshwright.plans.poisson import solve_square
+
+    return solve_square(spark, 8)
+
 
+@query()
+def octree_balance(spark, d):
+    """Refine one corner four times and balance."""
+    from meshwright.operators import octree
+    from meshwright.plans.lineage import Tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"coo_compress_sum": coo_compress_sum}
-ORACLE: dict[str, str] = {"coo_compress_sum": "SELECT l_partkey AS ia, l_suppkey AS ja, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2"}
+    cut_ = Tables(spark).cut
+    cells = spark.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    for k in range(5):
+        at = 2 ** max(0, k - 1) - 1 if k else 0
+        cells = octree.refine(cells.withColumn("flag", F.when((F.col("level") == k) & (F.col("i") == at) & (F.col("j") == at), 1).otherwise(0)))
+    return octree.partition(octree.balance(cells, cut_), 3)
