@@ -6,9 +6,11 @@ GROUPS*PER_GROUP minhashes only. Two sets of similarity s share a table unless f
 groups agree: with 14 groups of 2 that misses 1.6 of 100,000 pairs at s = 0.8 and fewer above.
 
 Texts with equal shingle sets become one class first. In each bucket the classes are compared
-with the bucket's least one; then, while a bucket holds several components, with further ones,
-and at last all pairs of different components that were not compared yet. So no link between
-candidates is lost and no bucket's pairs are listed in full. Links are confirmed on whole sets.
+with the bucket's least one; then, while a bucket holds several components, with further ones, and at
+last members of different components with each other, unless their sizes or their one-bit
+sketches rule a link out (the latter errs for about one similar pair in a million). Pairs inside
+a component are never listed, so a group of copies costs comparisons in proportion to its size.
+Links are confirmed on whole sets.
 
 Cases: null, empty and wordless texts have no shingles and are linked with nothing; fewer words
 than a shingle has are one shingle; rows that share a ``doc_id`` are one document; a null
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import LOWER, Prefixes, Scratch, by_size, bytes_of, hot_join, mixed, settled, text_frame, word_edges
@@ -32,6 +34,7 @@ PERCENT = 80
 GROUPS, PER_GROUP = 14, 2
 PIECE = 4_000_000
 ROUNDS = 3
+SKETCH = 512
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -98,8 +101,9 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, 1, PIECE):
             sh, at = shingles(*bytes_of(b.column(1)), size)
-            sets = [np.unique(sh[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            full = np.diff(at) > 0
+            sets = [np.unique(sh[s:e]).tobytes() for s, e in zip(at[:-1][full].tolist(), at[1:][full].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(full)), pa.array(sets, pa.binary())], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
 
@@ -129,19 +133,43 @@ def ordered(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """id and SKETCH one-bit minhashes of its set, as longs of 64 bits."""
+    seeds = np.random.Generator(np.random.PCG64(211)).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s in b.column(1):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                bits = np.zeros(SKETCH, np.uint64)
+                for k in range(0, SKETCH, 32):
+                    h = own[:, None] * seeds[None, k : k + 32]
+                    h ^= h >> np.uint64(31)
+                    h *= np.uint64(0xD6E8FEB86659FD93)
+                    bits[k : k + 32] = (h.min(axis=0) >> np.uint64(20)) & np.uint64(1)
+                rows.append((bits.reshape(-1, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+    return sets.mapInArrow(run, "id long, sketch array<long>")
+
+
+def sized(a: str, b: str, percent: int) -> Column:
+    """Sets whose sizes differ more than this cannot be similar."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent: int, groups: int) -> DataFrame | None:
-    """(id, component) of the class representatives that have a link; None if there is no candidate."""
+    """(id, component) of the class representatives that have a link; None if there is none."""
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.get("sig", i), F.get("sig", j)) for k, (i, j) in enumerate(tables)))
-    entries = reps.select(F.col("rep").alias("id"), F.explode(keys).alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = scratch.table(entries.join(shared.select("key", "least"), "key"), "members")
-    tried = scratch.table(members.where("id != least").select(*ordered("least", "id")).distinct(), "pairs0")
-    if tried.isEmpty():
-        return None
-    ids = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
+    entries = reps.select(F.col("rep").alias("id"), "n", F.posexplode(keys).alias("pos", "key"))
+    shared = scratch.table(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", "least"), "shared")
+    members = scratch.table(entries.join(shared, "key"), "members")
+    tried = scratch.table(members.where(F.col("id") != F.col("least.id")).where(sized("n", "least.n", percent)).select(*ordered("least.id", "id")).distinct(), "pairs0")
+    members = members.select("key", "pos", "id", "n")
     narrow = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
-    sets = scratch.table(sets_of(docs.join(ids, "doc_id", "left_semi"), size), "sets", narrow)
+    sets = scratch.table(sets_of(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets", narrow)
     found = scratch.table(confirmed(tried, sets, percent), "links0", narrow)
     components, k, changed = None, 0, True
     while True:
@@ -150,11 +178,11 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent
         if k > ROUNDS:
             return components
         if changed:
-            marked = members.select("key", "id", F.col("id").alias("c"))
+            marked = members.withColumn("c", F.col("id"))
             if components is not None:
-                marked = members.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+                marked = members.join(components, "id", "left").select("key", "pos", "id", "n", F.coalesce("component", "id").alias("c"))
             marked = scratch.table(marked, f"marked{k}")
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id"), F.col("c"))).alias("hub")
+        hub = F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id"), F.col("c"), F.col("n"))).alias("hub")
         several = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo < hi")
         left = scratch.table(marked.join(several.select("key", "hub"), "key"), f"several{k}")
         if left.isEmpty():
@@ -162,11 +190,10 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent
         # After a round that finds nothing new to compare, and after the last one, all that is left is compared.
         k = k + 1 if changed else ROUNDS + 1
         if k <= ROUNDS:
-            pairs = left.where(F.col("c") != F.col("hub.c")).select(*ordered("id", "hub.id"))
+            pairs = left.where(F.col("c") != F.col("hub.c")).where(sized("n", "hub.n", percent)).select(*ordered("id", "hub.id")).distinct()
         else:
-            other = left.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = left.join(other, "key").where("c < c2").select(*ordered("id", "id2"))
-        new = scratch.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+            pairs = across(left, sets, reps, scratch, percent, tables, narrow)
+        new = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
         changed = not new.isEmpty()
         if changed:
             tried = tried.unionByName(new)
@@ -174,15 +201,38 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent
             found = found.unionByName(more)
 
 
+def across(left: DataFrame, sets: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, tables: list[tuple[int, int]], narrow: dict[str, str]) -> DataFrame:
+    """Pairs of different components that share a table and that sizes and sketches do not rule out, each
+    from the first table it shares only."""
+    ids = left.select("id").distinct()
+    marks = scratch.table(sketched(sets.join(ids, "id", "left_semi")), "sketches", narrow)
+    marks = marks.join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    rows = scratch.table(left.select("key", "pos", "id", "n", "c").join(marks, "id"), "left")
+    i, j = (F.get(F.array(*(F.lit(t[x]) for t in tables)), F.col("pos")) for x in (0, 1))
+    mine = rows.select("key", "id", "n", "c", "sig", "sketch", i.alias("i"), j.alias("j"))
+    other = rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "c", "sig", "sketch")))
+    differ = sum((F.bit_count(F.get("sketch", w).bitwiseXOR(F.get("sketch2", w))) for w in range(SKETCH // 64)), F.lit(0))
+    groups = 1 + max(t[1] for t in tables)
+    earlier = sum((((F.col("j") > g) & (F.col("i") != g) & (F.get("sig", g) == F.get("sig2", g))).cast("int") for g in range(groups)), F.lit(0))
+    possible = (F.col("c") < F.col("c2")) & sized("n", "n2", percent) & (differ <= most_different(percent)) & (earlier == 0)
+    return mine.join(other, (mine.key == other.key) & possible).select(*ordered("id", "id2"))
+
+
+def most_different(percent: int) -> int:
+    """Bits by which the sketches of a similar pair differ with all but a chance of about one in a million."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5))
+
+
 def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for every row."""
     spark = docs.sparkSession
     docs = text_frame(docs)
     with Scratch(spark, "minhash") as scratch:
         sigs = scratch.table(signed(docs, size, groups, per_group), "sigs")
-        classes = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
+        classes = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
         reps = scratch.table(classes, "reps")
-        linked = links(docs, reps.select("rep", "sig"), scratch, size, percent, groups)
+        linked = links(docs, reps.select("rep", "n", "sig"), scratch, size, percent, groups)
         placed = reps.select("fp", "rep", "rows")
         if linked is None:
             placed = placed.withColumn("component", F.col("rep"))

@@ -52,4 +52,109 @@ SELECT record_id, canon AS url, id AS refers_to, "check", resolved,
 FROM l
 """
 
-ORACLE: dict[str, str] = {"op1_revisits": OP1, "op4_url_trie": OP4}
+OP8 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s FROM bw, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS t(i) WHERE len(w) > 0
+), pos AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM dw, (SELECT DISTINCT k FROM win) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)
+), hit AS (
+  SELECT doc_id, i, k, item_id FROM pos JOIN win USING (k, s)
+), words AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS names FROM hit GROUP BY 1
+)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS t(i)
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY 1
+), l AS (
+  SELECT doc_id, line, regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), f AS (
+  SELECT doc_id, line, NOT regexp_matches(t, '[.!?…:;]')
+    OR (right(t, 1) NOT IN ('.', '!', '?', '…', ':', ';', '"', '''', '”', '’', '»', ')', ']') AND NOT regexp_matches(t, '^\s*\S+\s+\S+\s+\S+\s+\S'))
+    OR regexp_matches(t, '\|[^|]*\|')
+    OR (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) * 10 > length(t)
+    OR regexp_matches(lower(t), '^(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|read more|share|contact|sitemap)\b[^.!?]*$')
+    OR regexp_matches(lower(t), 'enable javascript|uses cookies|use of cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|subscribe to our|click here') AS bad
+  FROM l
+), by_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(CASE WHEN bad THEN length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) END), 0) AS n_lost FROM f GROUP BY 1
+), c AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d
+), a AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost, 0)::bigint AS n_lost_chars
+  FROM c LEFT JOIN by_line USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT n_lost_chars * 100 > word_chars * 50 AS kept
+FROM a
+"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), ends AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), r(id, c) AS (
+  SELECT a, a FROM ends UNION SELECT ends.b, r.c FROM r JOIN ends ON r.id = ends.a WHERE ends.b > r.c
+), comp AS (
+  SELECT id, min(c) AS c FROM r GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, d.doc_id = coalesce(comp.c, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.id = d.doc_id
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS b FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(s)
+), late AS (
+  SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM (SELECT *, min(doc_id) OVER (PARTITION BY b) AS first FROM win) WHERE doc_id > first
+), grouped AS (
+  SELECT doc_id, s, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM late
+), runs AS (
+  SELECT doc_id, g, min(s) AS s, max(s) + 50 AS e FROM grouped GROUP BY 1, 2
+), gone AS (
+  SELECT doc_id, sum(e - s)::bigint AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1
+), keep AS (
+  SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY 1
+), text_left AS (
+  SELECT keep.doc_id, string_agg(substr(h, 2 * keep.s + 1, 2 * (coalesce(keep.e, length(h) // 2) - keep.s)), '' ORDER BY keep.s) AS k FROM keep JOIN d ON d.doc_id = keep.doc_id GROUP BY 1
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN text_left ON text_left.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_revisits": OP1,
+    "op4_url_trie": OP4,
+    "op5_suffix_index": OP5,
+    "op8_wu_manber": OP8,
+    "op9_line_clean": OP9,
+    "op10_minhash": OP10,
+}

@@ -30,7 +30,7 @@ from meshwright.llm.common import Prefixes, Scratch, bounded_prefix, by_size, by
 
 END_ID = 2
 PIECE = 2_000_000
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 800_000
 FILE_SCHEMA = "row long, doc_id long, ids array<int>"
 OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
@@ -101,8 +101,10 @@ class Encoder:
         begin[last] = True
         begin[after[data[after - 1] == 32]] = False
         # An apostrophe that begins a pre-token and a suffix after it are one.
+        opens = np.zeros(n, bool)
+        opens[inner] = True
         for q in np.flatnonzero(begin & (data == 39)).tolist():
-            if q + 1 < n and kind[q + 1] == LETTER and begin[q + 1]:
+            if q + 1 < n and kind[q + 1] == LETTER and begin[q + 1] and not opens[q + 1]:
                 for size in (1, 2):
                     if bytes(data[q + 1 : q + 1 + size]) in SUFFIXES and not begin[q + 2 : q + 1 + size].any():
                         begin[q + 1] = False

@@ -13,7 +13,7 @@ forward, and only URLs that cross ranges (at most one for each border) pass thei
 
 Cases: a null or empty URL, or a null time, leaves a revisit unresolved and makes a response no
 candidate; null headers are empty; repeated rows are resolved each for itself; ties in time are
-ordered by record_id; several responses with one record_id count as one (the first of them); an
+ordered by record_id, and a response with both alike is not earlier; several responses with one record_id count as one (the first of them); an
 empty table gives no rows; other columns are not read.
 """
 
@@ -58,10 +58,10 @@ def agreement(asked: Column, stored: Column) -> Column:
 def as_of(thin: DataFrame, scratch: Scratch) -> DataFrame:
     """``thin`` (canon, ts, record_id, full, v, ...) with ``prior``: (record_id, v) of the latest earlier full row of its URL."""
     parts = int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = thin.repartitionByRange(parts, "canon", "ts", "record_id").withColumn("part", F.spark_partition_id())
+    ranged = thin.repartitionByRange(parts, "canon", "ts", "record_id", "full").withColumn("part", F.spark_partition_id())
     ranged = scratch.table(ranged, "ranged")
     own = F.when(F.col("full"), F.struct("record_id", "v"))
-    near = F.last(own, ignorenulls=True).over(W.partitionBy("part", "canon").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1))
+    near = F.last(own, ignorenulls=True).over(W.partitionBy("part", "canon").orderBy("ts", "record_id", "full").rowsBetween(W.unboundedPreceding, -1))
     crossing = ranged.groupBy("canon").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("canon")
     ends = ranged.join(crossing, "canon", "left_semi").groupBy("canon", "part").agg(F.max_by(own, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("last"))
     before = F.last("last", ignorenulls=True).over(W.partitionBy("canon").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
