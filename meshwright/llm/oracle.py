@@ -150,10 +150,46 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN text_left ON text_left.doc_id = d.doc_id
 """
 
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT doc_id, 0 AS kind, string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS g, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS m FROM d
+  UNION ALL SELECT doc_id, 1, string_split_regex(t, 'AKIA[A-Z0-9]{14,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{14,}') FROM d
+  UNION ALL SELECT doc_id, 2, string_split_regex(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}') FROM d
+  UNION ALL SELECT doc_id, 3, string_split_regex(t, '[A-Za-z0-9+/_-]{24,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}') FROM d
+), found AS (
+  SELECT doc_id, kind, m[j] AS s, (list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0))::bigint AS b
+  FROM parts, unnest(range(1, len(m) + 1)) AS t(j)
+), windows AS (
+  SELECT doc_id, b, s, i, substr(s, i, 24) AS w FROM (SELECT * FROM found WHERE kind = 3 AND regexp_matches(s, '[0-9]')), unnest(range(1, length(s) - 22)) AS t(i)
+), letters AS (
+  SELECT doc_id, b, s, i, ch, count(*) AS c FROM (SELECT doc_id, b, s, i, unnest(string_split(w, '')) AS ch FROM windows) WHERE ch <> '' GROUP BY ALL
+), dense AS (
+  SELECT doc_id, b, s, max(h) AS h FROM (SELECT doc_id, b, s, i, -sum(c / 24.0 * log2(c / 24.0)) AS h FROM letters GROUP BY ALL) GROUP BY ALL
+), spans AS (
+  SELECT doc_id, kind, b, b + length(s) AS e FROM found
+  WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(s, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 12
+  UNION ALL
+  SELECT doc_id, 3, b, b + length(s) FROM dense
+  WHERE NOT regexp_matches(s, '(?i)(example|placeholder|changeme|your[_-]|xxxx|abcdefgh|01234567|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})')
+    AND h >= CASE WHEN regexp_matches(s, '^[0-9a-fA-F-]+$') THEN 3.0 WHEN regexp_matches(s, '^[A-Za-z0-9]+$') THEN 3.75 ELSE 3.9 END
+), named AS (
+  SELECT doc_id, kind, b, e, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || b || ':' || e AS name FROM spans
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+    string_agg(name, ',' ORDER BY b, kind, e) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY b, kind, e) AS spans FROM named GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc ON by_doc.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_revisits": OP1,
     "op4_url_trie": OP4,
     "op5_suffix_index": OP5,
+    "op7_secret_scan": OP7,
     "op8_wu_manber": OP8,
     "op9_line_clean": OP9,
     "op10_minhash": OP10,
