@@ -107,6 +107,38 @@ def gmres(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float
     return base.select("idx", F.col("x").alias("val")), Report(total, residual, residual <= tolerance * norm0**0.5)
 
 
+def minres(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
+    """MINRES for symmetric, also indefinite, matrices: a three-term recurrence, so two old vectors each are kept."""
+    matrix = cut(matrix, "matrix")
+    (b2,) = scalars(rhs, b=F.col("val") * F.col("val"))
+    beta = norm0 = b2**0.5
+    zero = [F.lit(0.0).alias(c) for c in ("x", "v1", "w", "w1")]
+    if not norm0:
+        return rhs.select("idx", F.lit(0.0).alias("val")), Report(0, 0.0, True)
+    w = cut(rhs.select("idx", (F.col("val") / norm0).alias("v"), *zero), "start")
+    c = c1 = 1.0
+    s = s1 = 0.0
+    eta, k = beta, 0
+    while k < most and abs(eta) > tolerance * norm0:
+        k += 1
+        av = spmv(matrix, w.select("idx", F.col("v").alias("val"))).select("idx", F.col("val").alias("av"))
+        w = cut(w.join(av, "idx", "left").withColumn("av", F.coalesce("av", F.lit(0.0))), f"product{k}")
+        (alpha,) = scalars(w, a=F.col("v") * F.col("av"))
+        new = F.col("av") - alpha * F.col("v") - (beta if k > 1 else 0.0) * F.col("v1")
+        (n2,) = scalars(w, n=new * new)
+        beta1, old = n2**0.5, beta if k > 1 else 0.0
+        delta = c * alpha - c1 * s * old
+        rho1 = (delta * delta + n2) ** 0.5
+        rho2, rho3 = s * alpha + c1 * c * old, s1 * old
+        if not rho1:
+            break
+        c1, s1, c, s = c, s, delta / rho1, beta1 / rho1
+        step = (F.col("v") - rho3 * F.col("w1") - rho2 * F.col("w")) / rho1
+        w = w.select("idx", (F.col("x") + c * eta * step).alias("x"), (new / beta1 if beta1 else F.lit(0.0)).alias("v"), F.col("v").alias("v1"), step.alias("w"), F.col("w").alias("w1"))
+        eta, beta = -s * eta, beta1
+    return w.select("idx", F.col("x").alias("val")), Report(k, abs(eta), abs(eta) <= tolerance * norm0)
+
+
 def newton(residual, tangent_solve, start: DataFrame, tolerance: float = 1e-10, most: int = 20, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
     """Newton: ``residual(u)`` gives (idx, val), ``tangent_solve(u, r)`` the correction (idx, val) for the right side r."""
     u, k = cut(start, "newton0"), 0

@@ -91,7 +91,7 @@ def test_mesh_volume_and_solvers(spark):
     for i, j, v in rows:
         dense[i - 1, j - 1] = v
     want, cut_ = np.linalg.solve(dense, np.arange(1, 7)), Tables(spark).cut
-    for method in (solvers.conjugate_gradients, solvers.richardson, solvers.gmres):
+    for method in (solvers.conjugate_gradients, solvers.richardson, solvers.gmres, solvers.minres):
         x, report = method(m, b, cut=cut_)
         got = {r.idx: r.val for r in x.collect()}
         assert report.converged and np.allclose([got[i] for i in range(1, 7)], want, atol=1e-6)
@@ -156,3 +156,16 @@ def test_bisection_agrees_with_ranks(spark):
     up, down = norms.fraction_by_bisection(est, 0.1, 0.05)
     flags = {r.cell_id: r.flag for r in norms.fixed_fraction(est, 0.1, 0.05).collect()}
     assert {c for c, f in flags.items() if f == 1} == {c for c in flags if c > up} and {c for c, f in flags.items() if f == -1} == {c for c in flags if c < down}
+
+
+def test_running_assembly_of_a_stream(spark, tmp_path):
+    from meshwright.streaming.assembly import running_matrix
+
+    rows = [(1, 1, 2.0), (1, 2, 3.0), (1, 1, 4.0)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "ia long, ja long, val double").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ia long, ja long, val double").parquet(str(tmp_path / "in"))
+    q = running_matrix(stream).writeStream.outputMode("complete").format("memory").queryName("running").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.ia, r.ja): r.val for r in spark.table("running").collect()} == {(1, 1): 6.0, (1, 2): 3.0}
