@@ -33,8 +33,8 @@ from meshwright.operators.graph import connected_components
 PERCENT = 80
 GROUPS, PER_GROUP = 14, 2
 PIECE = 4_000_000
-ROUNDS = 3
-SKETCH = 512
+ROUNDS = 2
+SKETCH = 2048
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -206,22 +206,26 @@ def across(left: DataFrame, sets: DataFrame, reps: DataFrame, scratch: Scratch,
     from the first table it shares only."""
     ids = left.select("id").distinct()
     marks = scratch.table(sketched(sets.join(ids, "id", "left_semi")), "sketches", narrow)
-    marks = marks.join(reps.select(F.col("rep").alias("id"), "sig"), "id")
-    rows = scratch.table(left.select("key", "pos", "id", "n", "c").join(marks, "id"), "left")
+    # The first table that two rows share is told by 31 bits of each signature.
+    small = F.transform("sig", lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("sig")
+    marks = marks.join(reps.select(F.col("rep").alias("id"), small), "id")
     i, j = (F.get(F.array(*(F.lit(t[x]) for t in tables)), F.col("pos")) for x in (0, 1))
-    mine = rows.select("key", "id", "n", "c", "sig", "sketch", i.alias("i"), j.alias("j"))
-    other = rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "c", "sig", "sketch")))
-    differ = sum((F.bit_count(F.get("sketch", w).bitwiseXOR(F.get("sketch2", w))) for w in range(SKETCH // 64)), F.lit(0))
+    rows = scratch.table(left.select("key", i.alias("i"), j.alias("j"), "id", "n", "c").join(marks, "id"), "left")
+    # Both sides have the same columns in the same order, so one exchange serves both.
+    mine, other = (rows.select(*(F.col(c).alias(f"{c}{side}") for c in ("key", "i", "j", "id", "n", "c", "sig", "sketch"))) for side in (1, 2))
+    differ = lambda first, last: sum((F.bit_count(F.get("sketch1", w).bitwiseXOR(F.get("sketch2", w))) for w in range(first, last)), F.lit(0))
+    words, head = SKETCH // 64, SKETCH // 256
     groups = 1 + max(t[1] for t in tables)
-    earlier = sum((((F.col("j") > g) & (F.col("i") != g) & (F.get("sig", g) == F.get("sig2", g))).cast("int") for g in range(groups)), F.lit(0))
-    possible = (F.col("c") < F.col("c2")) & sized("n", "n2", percent) & (differ <= most_different(percent)) & (earlier == 0)
-    return mine.join(other, (mine.key == other.key) & possible).select(*ordered("id", "id2"))
+    earlier = sum((((F.col("j1") > g) & (F.col("i1") != g) & (F.get("sig1", g) == F.get("sig2", g))).cast("int") for g in range(groups)), F.lit(0))
+    near = (differ(0, head) <= most_different(percent, 64 * head)) & (earlier == 0) & (differ(0, words) <= most_different(percent, SKETCH))
+    possible = (F.col("c1") < F.col("c2")) & sized("n1", "n2", percent) & near
+    return mine.join(other, (mine.key1 == other.key2) & possible).select(*ordered("id1", "id2"))
 
 
-def most_different(percent: int) -> int:
+def most_different(percent: int, bits: int) -> int:
     """Bits by which the sketches of a similar pair differ with all but a chance of about one in a million."""
     p = (1 - percent / 100) / 2
-    return int(np.ceil(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5))
+    return int(np.ceil(bits * p + 5 * (bits * p * (1 - p)) ** 0.5))
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
