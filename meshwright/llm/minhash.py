@@ -34,7 +34,7 @@ PERCENT = 80
 GROUPS, PER_GROUP = 14, 2
 PIECE = 4_000_000
 ROUNDS = 2
-SKETCH = 2048
+SKETCH = 3072
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
