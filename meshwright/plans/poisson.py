@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from meshwright.operators.norms import norm
 from meshwright.plans import assembly
 from meshwright.plans.lineage import Tables
-from meshwright.plans.solvers import conjugate_gradients
+from meshwright.plans.solvers import conjugate_gradients, solution
 from meshwright.sources import structured
 
 
 def solve(spark: SparkSession, sizes: list[int], source: Column, exact: Column, tolerance: float = 1e-11) -> tuple[DataFrame, DataFrame]:
-    """(solution (idx, val), quadrature points) of -div grad u = source with u = exact on the boundary of the unit box."""
+    """(solution (idx, val), quadrature points) of -div grad u = source with u = exact on the boundary of the unit box;
+    NotConverged if the solver stops above ``tolerance``."""
     cut, dims = Tables(spark).cut, len(sizes)
     cells, vertices = structured.cells(spark, sizes), structured.vertices(spark, sizes, [(0.0, 1.0)] * dims)
     points = cut(assembly.quadrature_points(assembly.cell_points(cells, vertices), dims, 2), "points")
     fixed = cut(vertices.where("boundary").select(F.col("vertex_id").alias("idx"), exact.alias("val")), "fixed")
     matrix, rhs = assembly.eliminated(assembly.laplacian(points, dims), assembly.load(points, source, dims), fixed)
-    inner, _ = conjugate_gradients(matrix, rhs, tolerance, cut=cut)
+    inner = solution(conjugate_gradients(matrix, rhs, tolerance, cut=cut))
     return cut(inner.unionByName(fixed), "solution"), points
 
 

@@ -21,6 +21,23 @@ class Report:
     converged: bool
 
 
+class NotConverged(ArithmeticError):
+    """A solver stopped above its tolerance, so its vector is not the solution."""
+
+
+def solution(solved: tuple[DataFrame, Report]) -> DataFrame:
+    """The vector of a solver's result; an error if it did not converge."""
+    x, report = solved
+    if not report.converged:
+        raise NotConverged(f"no convergence: residual {report.residual:g} after {report.iterations} iterations")
+    return x
+
+
+def step_limit(unknowns: float) -> int:
+    """Conjugate gradients end after as many steps as there are unknowns, but for rounding, which may cost several times as many."""
+    return max(500, 10 * int(unknowns))
+
+
 def scalars(df: DataFrame, **sums) -> list[float]:
     return [float(x or 0.0) for x in df.agg(*(F.sum(e).alias(k) for k, e in sums.items())).first()]
 
@@ -29,13 +46,15 @@ def inverse_diagonal(matrix: DataFrame) -> DataFrame:
     return matrix.where("ia = ja").select(F.col("ia").alias("idx"), F.try_divide(F.lit(1.0), F.col("val")).alias("d"))
 
 
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most: int = 500, jacobi: bool = True, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
-    """(idx, val) for a symmetric positive matrix. Stops when |r| <= tolerance * |b|. A breakdown (p, A p) = 0 takes a step of 0."""
+def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most: int | None = None, jacobi: bool = True, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
+    """(idx, val) for a symmetric positive matrix. Stops when |r| <= tolerance * |b|, or after ``most`` steps,
+    which follow the number of unknowns if not given; ``solution`` refuses what did not converge. A breakdown (p, A p) = 0 takes a step of 0."""
     matrix = cut(matrix, "matrix")
     d = inverse_diagonal(matrix)
     w = rhs.join(d, "idx", "left").select("idx", F.lit(0.0).alias("x"), F.col("val").alias("r"), (F.coalesce("d", F.lit(1.0)) if jacobi else F.lit(1.0)).alias("d"))
     w = cut(w.withColumn("p", F.col("r") * F.col("d")), "start")
-    norm0, rz = scalars(w, b=F.col("r") * F.col("r"), z=F.col("r") * F.col("r") * F.col("d"))
+    norm0, rz, unknowns = scalars(w, b=F.col("r") * F.col("r"), z=F.col("r") * F.col("r") * F.col("d"), n=F.lit(1))
+    most = step_limit(unknowns) if most is None else most
     residual, k = norm0, 0
     while k < most and residual > (tolerance**2) * norm0:
         k += 1

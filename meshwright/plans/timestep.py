@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshwright.operators.graph import Cut, checkpointed
 from meshwright.operators.sparse import add, spmv
 from meshwright.operators.vector import axpby
-from meshwright.plans.solvers import conjugate_gradients
+from meshwright.plans.solvers import conjugate_gradients, solution
 
 G = 1 - 0.5**0.5
 #: Name -> (A, b, c) of each scheme.
@@ -27,7 +27,7 @@ def finished(now: float, end: float, dt: float) -> bool:
 
 
 def step(mass: DataFrame, stiffness: DataFrame, u: DataFrame, dt: float, scheme: str, cut: Cut = checkpointed, tolerance: float = 1e-12) -> DataFrame:
-    """One step: each stage solves (M + dt*a_ii*A) v_i = -A (u + dt * sum a_ij v_j)."""
+    """One step: each stage solves (M + dt*a_ii*A) v_i = -A (u + dt * sum a_ij v_j); NotConverged if one stops above ``tolerance``."""
     a, b, _ = SCHEMES[scheme]
     stages: list[DataFrame] = []
     for i, row in enumerate(a):
@@ -38,7 +38,7 @@ def step(mass: DataFrame, stiffness: DataFrame, u: DataFrame, dt: float, scheme:
         right = spmv(stiffness, base).select("idx", (-F.col("val")).alias("val"))
         right = u.select("idx").join(right, "idx", "left").select("idx", F.coalesce("val", F.lit(0.0)).alias("val"))
         matrix = add(mass, stiffness, 1.0, dt * row[i]) if row[i] else mass
-        stages.append(cut(conjugate_gradients(matrix, cut(right, f"right{i}"), tolerance)[0], f"stage{i}"))
+        stages.append(cut(solution(conjugate_gradients(matrix, cut(right, f"right{i}"), tolerance, cut=cut)), f"stage{i}"))
     out = u
     for w, v in zip(b, stages, strict=True):
         out = axpby(1.0, out, dt * w, v)

@@ -169,3 +169,22 @@ def test_running_assembly_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.ia, r.ja): r.val for r in spark.table("running").collect()} == {(1, 1): 6.0, (1, 2): 3.0}
+
+
+def test_an_unconverged_vector_is_no_solution(spark, monkeypatch):
+    from functools import partial
+
+    short = partial(solvers.conjugate_gradients, most=1)
+    monkeypatch.setattr(poisson, "conjugate_gradients", short)
+    monkeypatch.setattr(timestep, "conjugate_gradients", short)
+    with pytest.raises(ArithmeticError, match="no convergence"):
+        poisson.solve(spark, [4, 4], F.lit(0.0), 1 + 2 * F.col("x") - 3 * F.col("y"))
+    mass = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "ia long, ja long, val double")
+    stiff = spark.createDataFrame([(1, 1, 2.0), (1, 2, -1.0), (2, 1, -1.0), (2, 2, 3.0)], "ia long, ja long, val double")
+    u = spark.createDataFrame([(1, 1.0), (2, 3.0)], "idx long, val double")
+    with pytest.raises(ArithmeticError, match="no convergence"):
+        timestep.step(mass, stiff, u, 0.1, "backward_euler", Tables(spark).cut)
+
+
+def test_solver_steps_follow_the_unknowns():
+    assert solvers.step_limit(49) == 500 and solvers.step_limit(1998**2) > 1998**2
