@@ -43,19 +43,22 @@ def negative_area(cells: DataFrame) -> DataFrame:
     return cells.select("cell_id", total.alias("area"))
 
 
-def aggregates(states: DataFrame, facets: DataFrame, cut: Cut = checkpointed, rounds: int = 50) -> DataFrame:
+def aggregates(states: DataFrame, facets: DataFrame, cut: Cut = checkpointed) -> DataFrame:
     """(cell_id, root): cut cells join, sweep by sweep, the aggregate of a touched facet neighbour (the one
-    with the least root); interior cells are their own roots. ``facets`` is (cell_id, neighbour)."""
+    with the least root); interior cells are their own roots. Sweeps go on until none joins a
+    cell, so only cut cells that no chain of facets ties to an interior cell have no root. ``facets`` is
+    (cell_id, neighbour)."""
     both = cut(facets.select("cell_id", "neighbour").unionByName(facets.select(F.col("neighbour").alias("cell_id"), F.col("cell_id").alias("neighbour"))).distinct(), "facets")
     state = states.where("status != 'exterior'").select("cell_id", F.when(F.col("status") == "interior", F.col("cell_id")).alias("root"))
-    for k in range(rounds):
+    k = 0
+    while True:
         state = cut(state, f"sweep{k}")
         near = both.join(state.where("root IS NOT NULL").select(F.col("cell_id").alias("neighbour"), F.col("root").alias("r")), "neighbour").groupBy("cell_id").agg(F.min("r").alias("r"))
         new = state.where("root IS NULL").select("cell_id").join(near, "cell_id")
         if new.isEmpty():
-            break
+            return state
         state = state.join(near, "cell_id", "left").select("cell_id", F.coalesce("root", "r").alias("root"))
-    return state
+        k += 1
 
 
 def snapped(nodes: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:

@@ -93,46 +93,77 @@ def strips(ids: DataFrame, key: str, parts: int) -> DataFrame:
     return ids.select(key, F.ntile(parts).over(W.orderBy(key)).alias("part"))
 
 
-def bfs_levels(edges: DataFrame, root: int, cut: Cut = checkpointed) -> DataFrame:
-    """(id, level) of all vertices that can be reached from ``root`` over edges (src, dst) in both directions."""
-    e = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    seen = e.sparkSession.createDataFrame([(root, 0)], "id long, level int")
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def levels_from(both: DataFrame, seen: DataFrame, cut: Cut) -> DataFrame:
+    """(id, level) of all vertices that can be reached from ``seen`` (id, level 0) over edges in both directions."""
     front, k = seen, 0
     while True:
         k += 1
-        near = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        near = both.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = cut(near.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("level")), f"front{k}")
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
 
 
-def reverse_cuthill_mckee(edges: DataFrame, root: int, cut: Cut = checkpointed) -> DataFrame:
-    """(id, rank): vertices by level from the root, then degree, then id, all turned round.
+def bfs_levels(edges: DataFrame, root: int, cut: Cut = checkpointed) -> DataFrame:
+    """(id, level) of all vertices that can be reached from ``root`` over edges (src, dst) in both directions."""
+    e = cut(both_ways(edges), "edges")
+    return levels_from(e, e.sparkSession.createDataFrame([(root, 0)], "id long, level int"), cut)
+
+
+def levels_of_components(both: DataFrame, degree: DataFrame, cut: Cut) -> DataFrame:
+    """(id, level, component) of all vertices. The root of each component is pseudo-peripheral: from its least
+    id on, the vertex of least degree in the last level becomes the root as long as the levels get more."""
+    component = cut(connected_components(both, cut), "components")
+    best = cut(levels_from(both, component.where("id = component").select("id", F.lit(0).alias("level")), cut).join(component, "id"), "levels")
+    while True:
+        depth = best.groupBy("component").agg(F.max("level").alias("depth"))
+        ends = best.join(depth, "component").where("level = depth").join(degree, "id")
+        roots = cut(ends.groupBy("component", "depth").agg(F.min_by("id", F.struct("degree", "id")).alias("id")), "roots")
+        new = cut(levels_from(both, roots.select("id", F.lit(0).alias("level")), cut).join(component, "id"), "levels")
+        more = new.groupBy("component").agg(F.max("level").alias("depth")).join(roots.select("component", F.col("depth").alias("old")), "component").where("depth > old").select("component")
+        more = cut(more, "more")
+        if more.isEmpty():
+            return best
+        best = cut(new.join(more, "component", "left_semi").unionByName(best.join(more, "component", "left_anti").select(*new.columns)), "best")
+
+
+def reverse_cuthill_mckee(edges: DataFrame, root: int | None = None, cut: Cut = checkpointed) -> DataFrame:
+    """(id, rank): vertices by level from the root, then degree, then id, all turned round. Without ``root``
+    every component is ordered, one after the other by their least ids; with it, the root's component only.
 
     The classic order visits neighbours of each vertex in turn; within a level this one orders by
     degree, which gives the same bandwidth bound, the width of two levels."""
     from pyspark.sql import Window as W
 
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut(both_ways(edges.where("src IS NOT NULL AND dst IS NOT NULL")), "edges")
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    ranked = bfs_levels(edges, root, cut).join(degree, "id", "left")
-    return ranked.select("id", F.row_number().over(W.orderBy(F.desc("level"), F.desc("degree"), F.desc("id"))).alias("rank"))
+    if root is None:
+        ranked, first = levels_of_components(both, degree, cut).join(degree, "id"), ["component"]
+    else:
+        ranked, first = bfs_levels(edges, root, cut).join(degree, "id", "left"), []
+    return ranked.select("id", F.row_number().over(W.orderBy(*first, F.desc("level"), F.desc("degree"), F.desc("id"))).alias("rank"))
 
 
-def colouring(edges: DataFrame, cut: Cut = checkpointed, rounds: int = 100) -> DataFrame:
+def colouring(edges: DataFrame, cut: Cut = checkpointed) -> DataFrame:
     """(id, colour): in each round the uncoloured vertices whose hash is greatest among their uncoloured
-    neighbours take the least colour that no neighbour has."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct(), "edges")
+    neighbours take the least colour that no neighbour has. Every round colours one vertex or more, and
+    rounds go on until all are coloured; a clique takes as many as it has vertices."""
+    both = cut(both_ways(edges).where("src != dst"), "edges")
     state = both.select(F.col("src").alias("id")).distinct().withColumn("colour", F.lit(None).cast("int"))
     rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    for k in range(rounds):
+    k = 0
+    while True:
         state = cut(state, f"state{k}")
         if state.where("colour IS NULL").isEmpty():
-            break
+            return state
         near = both.join(state.select(F.col("id").alias("dst"), F.col("colour").alias("c")), "dst").groupBy("src").agg(F.collect_set("c").alias("taken"), F.max(F.when(F.col("c").isNull(), rank("dst"))).alias("top"))
         joined = state.join(near, state.id == near.src)
         wins = F.col("colour").isNull() & (F.col("top").isNull() | (rank("id") > F.col("top")))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken")))
         state = joined.select("id", F.when(wins, free).otherwise(F.col("colour")).alias("colour"))
-    return state
+        k += 1

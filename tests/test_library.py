@@ -188,3 +188,24 @@ def test_an_unconverged_vector_is_no_solution(spark, monkeypatch):
 
 def test_solver_steps_follow_the_unknowns():
     assert solvers.step_limit(49) == 500 and solvers.step_limit(1998**2) > 1998**2
+
+
+def test_ordering_covers_every_component(spark):
+    e = spark.createDataFrame([(2, 1), (1, 3), (3, 4), (10, 11), (11, 12), (12, 13), (20, 21), (30, 30)], "src long, dst long")
+    ranks = {r.id: r["rank"] for r in graph.reverse_cuthill_mckee(e, cut=Tables(spark).cut).collect()}
+    assert sorted(ranks.values()) == list(range(1, 12)) and set(ranks) == {1, 2, 3, 4, 10, 11, 12, 13, 20, 21, 30}
+    assert sorted(ranks, key=ranks.get)[4:8] in ([10, 11, 12, 13], [13, 12, 11, 10]) and max(ranks[i] for i in (1, 2, 3, 4)) == 4
+    assert all(abs(ranks[r.src] - ranks[r.dst]) <= 1 for r in e.collect())
+
+
+def test_a_clique_of_over_100_is_coloured_whole(spark):
+    n = 104
+    e = spark.createDataFrame([(i, j) for i in range(n) for j in range(i)], "src long, dst long")
+    assert sorted(r.colour for r in graph.colouring(e, Tables(spark).cut).collect()) == list(range(n))
+
+
+def test_cut_cells_far_from_the_interior_join_it(spark):
+    n = 54
+    states = spark.createDataFrame([(1, "interior"), *((i, "cut") for i in range(2, n)), (100, "cut")], "cell_id long, status string")
+    facets = spark.createDataFrame([(i, i + 1) for i in range(1, n - 1)], "cell_id long, neighbour long")
+    assert {r.cell_id: r.root for r in cut.aggregates(states, facets, Tables(spark).cut).collect()} == dict.fromkeys(range(1, n), 1) | {100: None}
