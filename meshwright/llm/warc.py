@@ -13,7 +13,8 @@ forward, and only URLs that cross ranges (at most one for each border) pass thei
 
 Cases: a null or empty URL, or a null time, leaves a revisit unresolved and makes a response no
 candidate; null headers are empty; repeated rows are resolved each for itself; ties in time are
-ordered by record_id, and a response with both alike is not earlier; several responses with one record_id count as one (the first of them); an
+ordered by record_id, and a response with both alike is not earlier; several responses with one record_id count as one (the first of them); a
+record_id may be null: such a revisit is resolved like any other, and such responses are told apart by URL, time and validators; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -56,11 +57,11 @@ def agreement(asked: Column, stored: Column) -> Column:
 
 
 def as_of(thin: DataFrame, scratch: Scratch) -> DataFrame:
-    """``thin`` (canon, ts, record_id, full, v, ...) with ``prior``: (record_id, v) of the latest earlier full row of its URL."""
+    """``thin`` (canon, ts, record_id, full, v, ...) with ``prior``: (record_id, ts, v) of the latest earlier full row of its URL."""
     parts = int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = thin.repartitionByRange(parts, "canon", "ts", "record_id", "full").withColumn("part", F.spark_partition_id())
     ranged = scratch.table(ranged, "ranged")
-    own = F.when(F.col("full"), F.struct("record_id", "v"))
+    own = F.when(F.col("full"), F.struct("record_id", "ts", "v"))
     near = F.last(own, ignorenulls=True).over(W.partitionBy("part", "canon").orderBy("ts", "record_id", "full").rowsBetween(W.unboundedPreceding, -1))
     crossing = ranged.groupBy("canon").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("canon")
     ends = ranged.join(crossing, "canon", "left_semi").groupBy("canon", "part").agg(F.max_by(own, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("last"))
@@ -78,22 +79,24 @@ def resolve(records: DataFrame) -> DataFrame:
     of = lambda name: F.try_element_at("headers", F.lit(name))
     v = F.struct(of("etag").alias("etag"), of("last-modified").alias("last_modified"), of("warc-payload-digest").alias("digest"))
     whole = F.col("canon").isNotNull() & F.col("ts").isNotNull()
+    # What tells responses apart: the record_id, or where it is null, URL, time and validators.
+    named_by = lambda i, canon, ts, v: F.when(i.isNotNull(), F.concat(F.lit("id "), i.cast("string"))).otherwise(F.concat(F.lit("at "), F.to_json(F.struct(canon.alias("c"), ts.cast("string").alias("t"), v.alias("v")))))
     with Scratch(records.sparkSession, "warc") as scratch:
-        thin = base.where(whole & F.col("status").isin(200, 304)).select("canon", "ts", "record_id", (F.col("status") == 200).alias("full"), v.alias("v"))
+        # Revisits carry their own headers, as a record_id may repeat or be null; those of responses stay behind.
+        own = F.when(F.col("status") == 304, F.col("headers"))
+        thin = base.where(whole & F.col("status").isin(200, 304)).select("canon", "ts", "record_id", (F.col("status") == 200).alias("full"), v.alias("v"), own.alias("headers"))
         asked = as_of(thin, scratch).where(~F.col("full"))
         check = F.when(F.col("prior").isNull(), F.lit("no response")).otherwise(agreement(F.col("v"), F.col("prior.v")))
-        found = asked.select("record_id", "ts", "canon", F.col("prior.record_id").alias("refers_to"), check.alias("check"))
-        found = scratch.table(found.withColumn("resolved", F.col("check").isin("etag", "last-modified", "digest")), "found")
-        # A record_id may repeat, so each revisit keeps its own headers in one row with its result.
-        mine = base.where(whole & (F.col("status") == 304)).groupBy("record_id", "ts", "canon").agg(F.first("headers").alias("headers"))
-        rows = scratch.table(found.join(mine, ["record_id", "ts", "canon"]), "rows")
-        stored = base.where("status = 200").groupBy("record_id").agg(F.first("headers").alias("stored"))
-        counts = rows.where("resolved").groupBy("refers_to").agg(F.count("*").alias("n"))
-        named = scratch.table(counts.join(stored.withColumnRenamed("record_id", "refers_to"), "refers_to"), "named")
+        source = F.when(F.col("prior").isNotNull(), named_by(F.col("prior.record_id"), F.col("canon"), F.col("prior.ts"), F.col("prior.v")))
+        rows = asked.select("record_id", "canon", F.col("prior.record_id").alias("refers_to"), source.alias("source"), check.alias("check"), "headers")
+        rows = scratch.table(rows.withColumn("resolved", F.col("check").isin("etag", "last-modified", "digest")), "rows")
+        stored = base.where("status = 200").groupBy(named_by(F.col("record_id"), F.col("canon"), F.col("ts"), v).alias("source")).agg(F.first("headers").alias("stored"))
+        counts = rows.where("resolved").groupBy("source").agg(F.count("*").alias("n"))
+        named = scratch.table(counts.join(stored, "source"), "named")
         merged = F.map_zip_with("stored", "headers", lambda k, a, b: F.when(k.isin(*NOT_UPDATED), a).otherwise(F.coalesce(b, a)))
         merged = F.map_filter(merged, lambda k, x: x.isNotNull())
         keep = ["record_id", "canon", "refers_to", "check", "resolved", "headers"]
-        done = hot_join(rows.where("resolved"), named, "refers_to", "n").withColumn("headers", merged).select(*keep)
+        done = hot_join(rows.where("resolved"), named, "source", "n").withColumn("headers", merged).select(*keep)
         lost = base.where((F.col("status") == 304) & ~whole).select("record_id", "canon", F.lit(None).cast(base.schema["record_id"].dataType).alias("refers_to"), F.lit("no response").alias("check"), F.lit(False).alias("resolved"), "headers")
         return settled(done.unionByName(rows.where(~F.col("resolved")).select(*keep)).unionByName(lost))
 

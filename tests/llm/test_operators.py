@@ -293,3 +293,18 @@ def test_revisits(spark):
         "h": (None, "no response", False), "i": (None, "no response", False), "c": ("a", "none", False),
     }
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_revisits_with_null_or_repeated_ids_come_out_once_each(spark):
+    rows = [
+        (None, "http://x.org/", 10, 200, {"etag": "1", "of": "x10"}), (None, "http://x.org/", 30, 200, {"etag": "2", "of": "x30"}), (None, "http://y.org/", 10, 200, {"etag": "1", "of": "y10"}),
+        (None, "http://x.org/", 20, 304, {"etag": "1", "n": "a"}), (None, "http://x.org/", 40, 304, {"etag": "2", "n": "b"}), ("r", "http://y.org/", 20, 304, {"etag": "1", "n": "c"}),
+        ("r", "http://y.org/", 20, 304, {"etag": "1", "n": "d"}), ("r", "http://y.org/", 20, 304, {"etag": "other", "n": "e"}), (None, "http://z.org/", 20, 304, {"n": "f"}), (None, None, 20, 304, {"n": "g"}),
+        ("s", "http://x.org/", 50, 304, {"etag": "2", "n": "h"}), ("s", "http://x.org/", 50, 304, {"etag": "2", "n": "h"}),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, uri string, ts long, status int, headers map<string,string>")
+    got = sorted((r.headers["n"], r.headers.get("of"), r.record_id, r.refers_to, r["check"]) for r in warc.resolve(df).collect())
+    assert got == [
+        ("a", "x10", None, None, "etag"), ("b", "x30", None, None, "etag"), ("c", "y10", "r", None, "etag"), ("d", "y10", "r", None, "etag"), ("e", None, "r", None, "mismatch"),
+        ("f", None, None, None, "no response"), ("g", None, None, None, "no response"), ("h", "x30", "s", None, "etag"), ("h", "x30", "s", None, "etag"),
+    ]
