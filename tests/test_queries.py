@@ -28,3 +28,24 @@ def test_octree_is_balanced(spark, sf):
                 for up in range(2, level + 1):
                     assert (level - up, x >> up, y >> up) not in leaf
     assert {r.part for r in rows} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+@pytest.mark.parametrize("inside", [False, True])
+def test_insert_clips_at_the_edges_and_keeps_the_bulk(spark, sf, duck, symmetric, inside):
+    """Bounds and window follow the table's id ranges; part ids are folded onto the suppliers', so that the triangle halves the rows."""
+    from pyspark.sql import functions as F
+
+    from meshwright.operators import sparse
+
+    total, most = duck.execute("SELECT count(*), max(l_suppkey) + 1 FROM lineitem").fetchone()
+    rows, cols = most - most // 10, most
+    window = (1 + most // 10, most, 1, most - most // 10) if inside else None
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_partkey") % most + 1).alias("ia"), (F.col("l_suppkey") + 1).alias("ja"), F.col("l_quantity").alias("val"))
+    t = t.unionByName(t.where("ja = 1").withColumn("ja", F.lit(cols + 1).cast("long")))
+    got = sparse.insert(t, rows, cols, window, symmetric)
+    clip = f"ia BETWEEN 1 AND {rows} AND ja BETWEEN 1 AND {cols}" + (" AND ia BETWEEN {} AND {} AND ja BETWEEN {} AND {}".format(*window) if window else "") + (" AND ia <= ja" if symmetric else "")
+    sql = f"SELECT ia, ja, sum(val) FROM (SELECT l_partkey % {most} + 1 AS ia, l_suppkey + 1 AS ja, l_quantity AS val FROM lineitem) WHERE {clip} GROUP BY 1, 2"
+    assert total // 4 < got.count() < total
+    mine = {(r.ia, r.ja): round(r.val, 4) for r in sparse.compress(got).collect()}
+    assert mine == {(i, j): round(v, 4) for i, j, v in duck.execute(sql).fetchall()}
