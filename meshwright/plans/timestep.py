@@ -11,6 +11,9 @@ from meshwright.operators.vector import axpby
 from meshwright.plans.solvers import conjugate_gradients, solution
 
 G = 1 - 0.5**0.5
+#: The constants of the IMEX pairs of two stages and of order three.
+I2, I3 = 1 + 0.5**0.5, (3 + 3**0.5) / 6
+D21, D22 = -2 * 2**0.5 / 3, 1 - 1 / (2 * I2)
 #: Name -> (A, b, c) of each scheme.
 SCHEMES = {
     "backward_euler": ([[1.0]], [1.0], [1.0]),
@@ -19,6 +22,19 @@ SCHEMES = {
     "midpoint": ([[0.5]], [1.0], [0.5]),
     "sdirk_2": ([[G, 0.0], [1 - G, G]], [1 - G, G], [G, 1.0]),
     "runge_kutta_4": ([[0.0] * 4, [0.5, 0, 0, 0], [0, 0.5, 0, 0], [0, 0, 1.0, 0]], [1 / 6, 1 / 3, 1 / 3, 1 / 6], [0.0, 0.5, 0.5, 1.0]),
+    "midpoint_explicit": ([[0.0, 0.0], [0.5, 0.0]], [0.0, 1.0], [0.0, 0.5]),
+    "runge_kutta_3": ([[0.0] * 3, [0.5, 0, 0], [-1.0, 2.0, 0]], [1 / 6, 2 / 3, 1 / 6], [0.0, 0.5, 1.0]),
+    "runge_kutta_4_3_8": ([[0.0] * 4, [1 / 3, 0, 0, 0], [-1 / 3, 1.0, 0, 0], [1.0, -1.0, 1.0, 0]], [1 / 8, 3 / 8, 3 / 8, 1 / 8], [0.0, 1 / 3, 2 / 3, 1.0]),
+    "imex_rk_2_2_1_implicit": ([[I2, 0.0], [1 - I2, I2]], [1 - I2, I2], [I2, 1.0]),
+    "imex_rk_2_2_1_explicit": ([[0.0] * 3, [I2, 0, 0], [D21, 1 - D21, 0]], [0.0, 1 - I2, I2], [0.0, I2, 1.0]),
+    "imex_rk_2_2_2_implicit": ([[I2, 0.0], [1 - I2, I2]], [1 - I2, I2], [I2, 1.0]),
+    "imex_rk_2_2_2_explicit": ([[0.0] * 3, [I2, 0, 0], [D22, 1 - D22, 0]], [0.0, 1 - I2, I2], [0.0, I2, 1.0]),
+    "imex_rk_2_3_implicit": ([[I3, 0.0], [1 - 2 * I3, I3]], [0.5, 0.5], [I3, 1 - I3]),
+    "imex_rk_2_3_explicit": ([[0.0] * 3, [I3, 0, 0], [I3 - 1, 2 * (1 - I3), 0]], [0.0, 0.5, 0.5], [0.0, I3, 1 - I3]),
+    "imex_rk_4_3_implicit": ([[0.5, 0, 0, 0], [1 / 6, 0.5, 0, 0], [-0.5, 0.5, 0.5, 0], [1.5, -1.5, 0.5, 0.5]], [1.5, -1.5, 0.5, 0.5], [0.5, 2 / 3, 0.5, 1.0]),
+    "imex_rk_4_3_explicit": (
+        [[0.0] * 5, [0.5, 0, 0, 0, 0], [11 / 18, 1 / 18, 0, 0, 0], [5 / 6, -5 / 6, 0.5, 0, 0], [0.25, 1.75, 0.75, -1.75, 0]], [0.25, 1.75, 0.75, -1.75, 0.0], [0.0, 0.5, 2 / 3, 0.5, 1.0],
+    ),
 }
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.functions import fields, quadrature
+from meshwright.functions import fields, levelsets, quadrature
 from meshwright.operators import cut, graph, norms, octree, sparse, vector
 from meshwright.plans import assembly, poisson, solvers, timestep
 from meshwright.plans.lineage import Tables
@@ -209,3 +209,44 @@ def test_cut_cells_far_from_the_interior_join_it(spark):
     states = spark.createDataFrame([(1, "interior"), *((i, "cut") for i in range(2, n)), (100, "cut")], "cell_id long, status string")
     facets = spark.createDataFrame([(i, i + 1) for i in range(1, n - 1)], "cell_id long, neighbour long")
     assert {r.cell_id: r.root for r in cut.aggregates(states, facets, Tables(spark).cut).collect()} == dict.fromkeys(range(1, n), 1) | {100: None}
+
+
+def test_schemes_fulfil_their_order_conditions():
+    orders = {
+        "backward_euler": 1, "forward_euler": 1, "trapezoidal": 2, "midpoint": 2, "midpoint_explicit": 2, "sdirk_2": 2, "runge_kutta_3": 3, "runge_kutta_4": 4, "runge_kutta_4_3_8": 4,
+        **{f"imex_rk_{n}_{k}": o for n, o in (("2_2_1", 2), ("2_2_2", 2), ("2_3", 3), ("4_3", 3)) for k in ("implicit", "explicit")},
+    }
+    assert set(timestep.SCHEMES) == set(orders)
+    for name, order in orders.items():
+        a, b, c = (np.array(v, float) for v in timestep.SCHEMES[name])
+        assert np.allclose(a.sum(axis=1), c) and np.allclose(np.triu(a, 1), 0), name
+        got = [b.sum() - 1, b @ c - 1 / 2, b @ c**2 - 1 / 3, b @ a @ c - 1 / 6, b @ c**3 - 1 / 4, b @ (c * (a @ c)) - 1 / 8, b @ a @ c**2 - 1 / 12, b @ a @ a @ c - 1 / 24]
+        assert np.allclose(got[: (1, 2, 4, 8)[order - 1]], 0), name
+
+
+def test_gallery_of_level_sets(spark):
+    def popcorn(p):
+        q = 0.6 / np.sqrt(5)
+        bumps = [(2 * q * np.cos(2 * k * np.pi / 5), 2 * q * np.sin(2 * k * np.pi / 5), q) for k in range(5)] + [(0, 0, 0.6), (0, 0, -0.6)]
+        bumps += [(2 * q * np.cos((2 * k - 1) * np.pi / 5), 2 * q * np.sin((2 * k - 1) * np.pi / 5), -q) for k in range(5)]
+        return np.linalg.norm(p) - 0.6 - sum(2 * np.exp(-np.sum((p - np.array(c)) ** 2) / 0.04) for c in bumps)
+
+    def spiral(p):
+        n, r, rd, zmin = 2 / 3, 0.2, 0.75, -1.0
+        step, out, k = n / (2 * np.pi), 1e10, 0
+        while (alpha := step * (np.arctan2(p[1], p[0]) + k * np.pi)) <= 4.5 * np.pi * step:
+            d = np.linalg.norm(p - np.array([rd * np.cos(alpha / step), rd * np.sin(alpha / step), alpha + zmin + 1.1 * r])) - r
+            out, k = (d if alpha >= 0 and abs(d) < abs(out) else out), k + 1
+        d = np.hypot(p[0] - rd, p[2] - zmin - 1.1 * r) - r
+        out = d if d < out and p[1] <= 0 else out
+        d = np.hypot(p[1] - rd, p[2] - zmin - 1.1 * r - 4.5 * np.pi * step) - r
+        return d if d < out and p[0] <= 0 else out
+
+    at = np.random.default_rng(6).uniform(-1.2, 1.2, (300, 3))
+    df = spark.createDataFrame([tuple(map(float, p)) for p in at], "x double, y double, z double")
+    names = {"popcorn": (), "bullets": (), "spiral": (-1.0,)}
+    rows = df.select("x", "y", "z", *(levelsets.by_name(n, *args).alias(n) for n, args in names.items())).collect()
+    for r in rows:
+        p = np.array([r.x, r.y, r.z])
+        assert np.isclose(r.popcorn, popcorn(p)) and np.isclose(r.spiral, spiral(p))
+        assert np.isclose(r.bullets, max(s - np.linalg.norm(p - np.array(c)) for s, c in levelsets.BULLETS))
