@@ -13,6 +13,8 @@ other than ``doc_id`` and ``text`` pass through ``redact`` and are not read by `
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +25,36 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGN = 12
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}"
+#: Maximal runs; the look behind keeps the search from trying every place of a word. Only runs with a digit count.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 WINDOW = 24
+#: Codes of the characters of a candidate: ``+`` is the first, ``z`` the last one.
+FIRST_CODE, CODES = 43, 80
+#: A window's counts are one byte for each code, from this byte on; c*log2(c) is held in units of 1/SCALE, so sums are exact.
+ZERO, SCALE = 65, 2.0**44
 #: Bits per character that the densest window must reach, by the candidate's characters.
 MIN_ENTROPY = {"hex": 3.0, "alnum": 3.75, "base64": 3.9}
 ALLOWED = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|abcdefgh|01234567|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 KINDS = ("assign", "access", "hex", "entropy")
 BLOCK = 128
+#: Characters of a text that are cut out together when secrets are replaced.
+CHUNK = 1024
 
 
-def running(lengths: Column) -> Column:
-    """Exclusive prefix sums of an array. Blocks keep the cost near linear for very many values."""
+def running(values: Column, join, zero: Column) -> Column:
+    """Exclusive prefix values of an array under ``join`` (a sum, a maximum), from ``zero`` on. Blocks keep the
+    cost near linear for very many values."""
+    none = F.array().cast("array<int>")
 
     def inside(block: Column) -> Column:
         return F.aggregate(
-            block, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+            block, F.struct(zero.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
         )
 
     blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: inside(F.slice(x, b * BLOCK + 1, BLOCK)))
-    starts = lambda b: F.zip_with(b, inside(F.transform(b, lambda x: x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda v: v + o))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(bound(lengths, lambda x: F.flatten(bound(blocks(x), starts))))
+    starts = lambda b: F.zip_with(b, inside(F.transform(b, lambda x: x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda v: join(v, o)))
+    return F.when(F.size(values) == 0, none).otherwise(bound(values, lambda x: F.flatten(bound(blocks(x), starts))))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -54,7 +65,7 @@ def found(text: Column, pattern: str) -> Column:
 
     def spans(both: Column) -> Column:
         steps = F.zip_with(F.slice(both["g"], 1, F.size(both["m"])), both["m"], lambda g, m: F.length(g) + F.length(m))
-        begun = F.zip_with(running(steps), F.slice(both["g"], 1, F.size(both["m"])), lambda at, g: at + F.length(g))
+        begun = F.zip_with(running(steps, lambda a, b: a + b, F.lit(0)), F.slice(both["g"], 1, F.size(both["m"])), lambda at, g: at + F.length(g))
         return F.zip_with(begun, both["m"], lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
 
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
@@ -62,31 +73,42 @@ def found(text: Column, pattern: str) -> Column:
 
 
 def top_entropy(token: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window of a token.
+    """The highest Shannon entropy, in bits, of any window of a token of candidate characters, rounded to ten digits.
 
-    The state is the sum of c*log2(c) over the window's counts c. A step changes two counts
-    only: of the character that leaves and of the one that enters.
+    The state is the window's counts, one byte for each character, and the sum of c*log2(c) over
+    them. A step changes two counts only, of the character that leaves and of the one that
+    enters, so the cost is linear in the token's length.
     """
-    clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
-    first = F.substr(token, F.lit(1), F.lit(window))
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, ch: acc + F.when(ch == "", F.lit(0.0)).otherwise(clog(count(first, ch))))
+    clog = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(window + 1)]
+    rise = F.array(*(F.lit(clog[c + 1] - clog[c]) for c in range(window)))
+    place = lambda raw, i: F.ascii(F.substring(raw, i, F.lit(1)).cast("string")) - (FIRST_CODE - 1)
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1)).cast("string")) - ZERO
+    put = lambda counts, at, c: F.overlay(counts, F.char(c + ZERO).cast("binary"), at, F.lit(1))
+
+    def enter(acc: Column, at: Column) -> Column:
+        return bound(F.struct(at.alias("at"), count(acc["counts"], at).alias("c")), lambda x: F.struct((acc["s"] + F.get(rise, x["c"])).alias("s"), put(acc["counts"], x["at"], x["c"] + 1).alias("counts")))
+
+    def leave(acc: Column, at: Column) -> Column:
+        return bound(F.struct(at.alias("at"), count(acc["counts"], at).alias("c")), lambda x: F.struct((acc["s"] - F.get(rise, x["c"] - 1)).alias("s"), put(acc["counts"], x["at"], x["c"] - 1).alias("counts")))
+
+    def of(raw: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(chr(ZERO) * CODES).cast("binary").alias("counts"))
+        first = F.aggregate(F.sequence(F.lit(1), F.lit(window)), none, lambda acc, i: enter(acc, place(raw, i)))
+        steps = F.when(F.length(raw) > window, F.sequence(F.lit(1), F.length(raw) - window)).otherwise(F.array().cast("array<int>"))
 
-    def step(acc: Column, i: Column) -> Column:
-        old, out, new = F.substr(token, i, F.lit(window)), F.substr(token, i, F.lit(1)), F.substr(token, i + window, F.lit(1))
-        left = count(old, out)
-        come = count(old, new) - F.when(new == out, F.lit(1)).otherwise(F.lit(0))
-        now = acc["s"] - clog(left) + clog(left - 1) - clog(come) + clog(come + 1)
-        return F.struct(now.alias("s"), F.least(acc["least"], now).alias("least"))
+        def step(acc: Column, i: Column) -> Column:
+            moved = bound(leave(acc, place(raw, i)), lambda a: enter(a, place(raw, i + window)))
+            return bound(moved, lambda a: F.struct(a["s"].alias("s"), a["counts"].alias("counts"), F.least(acc["least"], a["s"]).alias("least")))
 
-    steps = F.when(F.length(token) > window, F.sequence(F.lit(1), F.length(token) - window)).otherwise(F.array().cast("array<int>"))
-    least = bound(start, lambda s: F.aggregate(steps, F.struct(s.alias("s"), s.alias("least")), step, lambda acc: acc["least"]))
-    return F.log2(F.lit(float(window))) - least / window
+        begun = lambda a: F.struct(a["s"].alias("s"), a["counts"].alias("counts"), a["s"].alias("least"))
+        return bound(first, lambda a: F.aggregate(steps, begun(a), step, lambda acc: acc["least"]))
+
+    return F.round(F.lit(math.log2(window)) - bound(token.cast("binary"), of) / (SCALE * window), 10)
 
 
 def is_secret(token: Column) -> Column:
     limit = F.when(token.rlike("^[0-9a-fA-F-]+$"), MIN_ENTROPY["hex"]).when(token.rlike("^[A-Za-z0-9]+$"), MIN_ENTROPY["alnum"]).otherwise(MIN_ENTROPY["base64"])
-    return ~token.rlike(ALLOWED) & (top_entropy(token) >= limit)
+    return token.rlike("[0-9]") & ~token.rlike(ALLOWED) & (top_entropy(token) >= limit)
 
 
 def spans_of(text: Column) -> Column:
@@ -125,18 +147,27 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def merged(spans: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["s"].alias("s"), F.greatest(last["e"], x["end"]).alias("e")))
-            own = F.array_append(acc, F.struct(x["start"].alias("s"), x["end"].alias("e")))
-            return F.when((F.size(acc) > 0) & (last["e"] >= x["start"]), grown).otherwise(own)
+        """Runs of overlapping or touching spans, in one pass: a run begins where a span starts behind all ends before it."""
+
+        def runs(x: Column) -> Column:
+            marked = F.zip_with(x["spans"], x["before"], lambda a, b: F.struct(a["start"].alias("s"), b.alias("before")))
+            return bound(F.filter(marked, lambda m: m["s"] > m["before"]), lambda m: F.zip_with(m, F.slice(m, 2, F.size(m)), lambda a, b: F.struct(a["s"].alias("s"), F.coalesce(b["before"], x["last"]).alias("e"))))
+
+        ends = F.transform(spans, lambda a: a["end"])
+        return bound(F.struct(spans.alias("spans"), running(ends, F.greatest, F.lit(-1)).alias("before"), F.array_max(ends).alias("last")), runs)
 
-        return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int>>"), add)
+    def piece(chunks: Column, begin: Column, end: Column) -> Column:
+        """The text between two places; only the chunks that hold it are walked through."""
+        first = F.floor(begin / CHUNK).cast("int")
+        some = F.slice(chunks, first + 1, F.when(end > begin, F.floor((end - 1) / CHUNK).cast("int") - first + 1).otherwise(F.lit(0)))
+        low = lambda k: F.greatest(begin - (first + k) * CHUNK, F.lit(0))
+        return F.array_join(F.transform(some, lambda c, k: F.substr(c, low(k) + 1, end - (first + k) * CHUNK - low(k))), "")
 
     def cut(runs: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["e"]))
         ends = F.concat(F.transform(runs, lambda r: r["s"]), F.array(F.length(text)))
-        return F.array_join(F.zip_with(begins, ends, lambda b, e: F.substr(text, b + 1, e - b)), mark)
+        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        return bound(chunks, lambda c: F.array_join(F.zip_with(begins, ends, lambda b, e: piece(c, b, e)), mark))
 
     new = docs.withColumn("_sc_spans", spans_of(text))
     new = new.withColumn("_sc_text", F.when(F.size("_sc_spans") == 0, F.col("text")).otherwise(bound(merged(F.col("_sc_spans")), cut)))
