@@ -134,11 +134,6 @@ def by_size(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterato
         yield batch.slice(first)
 
 
-def table_of(seed: int) -> np.ndarray:
-    """256 odd-looking 64-bit values, from a seed."""
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the usual xor-shift-multiply finish)."""
     h = h ^ (h >> np.uint64(32))
@@ -149,27 +144,75 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+PRIME = np.uint64(2**31 - 1)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """The same modulo PRIME, 33 bits at most."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def modular(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo PRIME."""
+    out, step = np.ones(1, np.uint64), base
+    while len(out) < n:
+        out, step = np.concatenate([out, out * np.uint64(step) % PRIME]), step * step % int(PRIME)
+    return out
+
+
 class Prefixes:
-    """Hashes of any byte range of a buffer from one pass of prefix sums, modulo 2**64."""
+    """62-bit hashes of any byte range of a buffer from one pass of prefix sums: polynomials in two bases
+    modulo the prime 2**31 - 1. (Modulo a power of two, texts such as the Thue-Morse words would collide by rule.)"""
 
-    STEP = 0x9E3779B97F4A7C15
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def __init__(self, data: np.ndarray, seed: int):
-        step = (self.STEP + 2 * seed) | 1
         n = len(data) + 1
-        have = self._powers.get(step)
-        if have is None or len(have[0]) < n:
+        rng = np.random.Generator(np.random.PCG64(seed))
+        bases = rng.integers(2**20, int(PRIME), 2).tolist()
+        have = self._powers.get(seed)
+        if have is None or len(have[0][0]) < n:
             size = 1 << max(16, int(n - 1).bit_length())
-            up, down = np.full(size, np.uint64(step)), np.full(size, np.uint64(pow(step, -1, 2**64)))
-            up[0] = down[0] = 1
-            have = self._powers[step] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        self.down = have[1]
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(table_of(seed)[data] * have[0][: n - 1], out=self.sums[1:])
+            have = self._powers[seed] = [(modular(b, size), modular(pow(b, -1, int(PRIME)), size)) for b in bases]
+        self.down = [down for _, down in have]
+        self.sums = []
+        for up, _ in have:
+            # Every term has 33 bits at most, so sums are exact up to 2**31 bytes.
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(folded(rng.integers(1, int(PRIME), 256, dtype=np.uint64)[data] * up[: n - 1]), out=sums[1:])
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        parts = []
+        for sums, down in zip(self.sums, self.down, strict=True):
+            h = folded(folded(sums[end] - sums[start])) * down[start]
+            h = folded(folded(h))
+            parts.append(np.where(h >= PRIME, h - PRIME, h))
+        return parts[0] | (parts[1] << np.uint64(31))
+
+
+def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal slices of a buffer that they cover without gaps: the place of each class's first slice, and every
+    slice's class. Slices are grouped by hash and then compared byte by byte with the first one of
+    their class, so slices of one class are equal whatever the hash."""
+    keys = mixed(Prefixes(data, seed).of(starts, ends)) ^ (ends - starts).astype(np.uint64)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    sizes = ends - starts
+    source = np.repeat(starts[first][which] - starts, sizes)
+    source += np.arange(starts[0], ends[-1]) if len(starts) else 0
+    differ = data[np.minimum(source, len(data) - 1)] != data[starts[0] : ends[-1]] if len(starts) else np.zeros(0, bool)
+    odd = np.flatnonzero((sizes[first][which] != sizes) | np.logical_or.reduceat(differ, starts - starts[0])) if len(starts) else np.zeros(0, np.int64)
+    if len(odd):
+        own: dict[bytes, int] = {}
+        first = first.tolist()
+        for i in odd.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in own:
+                own[raw] = len(first)
+                first.append(i)
+            which[i] = own[raw]
+        first = np.array(first)
+    return first, which
 
 
 def word_edges(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import Prefixes, Scratch, bounded_prefix, by_size, bytes_of, mixed, settled, text_frame
+from meshwright.llm.common import Scratch, alike, bounded_prefix, by_size, bytes_of, settled, text_frame
 
 END_ID = 2
 PIECE = 2_000_000
 MOST_KNOWN = 800_000
+#: Text bytes for each file at most, on average, once there are more than the session's shuffle partitions hold.
+FILE_BYTES = 256_000_000
 FILE_SCHEMA = "row long, doc_id long, ids array<int>"
 OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
@@ -124,8 +126,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         begins = self.cuts(data, offsets)
         ends = np.append(begins[1:], len(data))
-        keys = mixed(Prefixes(data, 11).of(begins, ends)) ^ (ends - begins).astype(np.uint64)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        first, which = alike(data, begins, ends, 11)
         raw = data.tobytes()
         words = [raw[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) + len(words) > MOST_KNOWN:
@@ -174,7 +175,9 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, files: int | None = None) -> None:
     """Write the ids of all documents to ``path``. ``tokenizer`` names a file that every executor has."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, row = encoder(tokenizer), 0
@@ -209,8 +212,10 @@ def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """Of each document in the files: where its ids start, their number and their checksum."""
-    stored = spark.read.schema(FILE_SCHEMA).orc(path).select(F.col("_metadata.file_name").alias("file"), "row", "doc_id", "ids")
-    thin = scratch.table(stored.mapInArrow(checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "thin")
+    # Files ascend by the number in their names, which has five digits or more.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    stored = spark.read.schema(FILE_SCHEMA).orc(path).select(number.alias("file"), "row", "doc_id", "ids")
+    thin = scratch.table(stored.mapInArrow(checksums, "file long, row long, doc_id long, n_tokens long, ids_crc32 long"), "thin")
     placed = bounded_prefix(thin, [], [F.col("row")], F.col("n_tokens"), "start", 0, F.col("file"))
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 

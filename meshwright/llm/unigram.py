@@ -12,7 +12,8 @@ piece the log frequency of its rank under Zipf's law instead.
 
 Cases: null and empty texts have no ids; a marker character in the text itself is written in
 bytes, so decoding gives every text back exactly; words and texts of any length are solved
-whole; repeated rows are encoded alike; other columns pass through ``encode`` except the text.
+whole; repeated rows are encoded alike; other columns pass through ``encode`` except the text; columns
+named ``ids`` or ``n_tokens`` are replaced by its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwright.llm.common import Prefixes, by_size, bytes_of, mixed
+from meshwright.llm.common import alike, by_size, bytes_of
 
 PIECE = 2_000_000
 UNKNOWN_COST = 10.0
@@ -212,8 +213,7 @@ class Model:
             begin[1:] |= (marked[1:] == MARK) & (marked[:-1] != MARK)
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(marked))
-        keys = mixed(Prefixes(marked, 41).of(starts, ends)) ^ (ends - starts).astype(np.uint64)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        first, which = alike(marked, starts, ends, 41)
         sizes = (ends - starts)[first]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         pool = marked[np.repeat(starts[first] - bounds[:-1], sizes) + np.arange(bounds[-1])]
