@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.llm import common, minhash, secrets, suffix_index, token_orc, unigram
+from meshwright.llm import common, minhash, secrets, suffix_index, token_orc, unigram, url_trie
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -106,3 +106,33 @@ def test_very_long_tokens_and_very_many_secrets_end_in_seconds(spark):
     assert found[4].n_hex == 20_000 and clean[4] == "é[SECRET] " * 20_000
     want = ",".join(f"hex:{26 * k + 1}:{26 * k + 25}" for k in range(20_000))
     assert found[4].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def rule_by_hand(rules, host, path):
+    fits = [(len(h), len(p), v == "block", h + p, v) for h, p, v in rules if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[3:] if fits else (None, "allow")
+
+
+@pytest.mark.parametrize("max_rules", [10**6, 0])
+def test_many_rules_of_few_hosts_against_brute_force(spark, max_rules):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abé/") for _ in range(rng.randrange(5)))
+    hosts = ["com", "a.com", "b.a.com", "net", "", "x/y"]
+    rules = [(rng.choice(hosts), rng.choice(["/", ""]) + word(), rng.choice(["allow", "block"])) for _ in range(300)]
+    urls = [(k, f"http://{rng.choice(['', 'a.', 'b.a.', 'c.b.a.'])}{rng.choice(['com', 'net', 'org', 'xcom'])}/{word()}{word()}") for k in range(600)]
+    urls += [(None, "http://com/"), (1, urls[1][1]), (7, None), *((1000 + k, "http://a.com/a") for k in range(300))]
+    got = url_trie.judge(spark.createDataFrame(urls, "page_id long, url string"), rules, max_rules=max_rules).collect()
+    assert sorted(map(str, (r.page_id for r in got))) == sorted(str(k) for k, _ in urls)
+    for r in got:
+        assert (r.rule, r.verdict) == rule_by_hand(rules, r.host, r.path)
+
+
+def test_a_million_rules_of_one_host():
+    before = time.time()
+    trie = url_trie.Trie(("big.com", f"/{k:x}q", "block" if k % 3 else "allow") for k in range(url_trie.MAX_RULES))
+    assert time.time() - before < 60
+    before = time.time()
+    for k in range(0, url_trie.MAX_RULES, 10):
+        assert trie.find("www.big.com", f"/{k:x}q/rest") == (f"big.com/{k:x}q", "block" if k % 3 else "allow")
+        assert trie.find("big.com", f"/{k:x}z") is None
+    assert time.time() - before < 20
