@@ -13,8 +13,10 @@ a component are never listed, so a group of copies costs comparisons in proporti
 Links are confirmed on whole sets.
 
 Cases: null, empty and wordless texts have no shingles and are linked with nothing; fewer words
-than a shingle has are one shingle; rows that share a ``doc_id`` are one document; a null
-``doc_id`` gets a null component and is kept; other columns pass through ``deduplicate``.
+than a shingle has are one shingle; rows that share a ``doc_id`` are judged each by its own text: a
+component's name is the least id among its rows, and a row is kept if it has that id, so a text that is
+nowhere else always stays; a null ``doc_id`` gets a null component and is kept; other columns pass
+through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -78,11 +80,11 @@ def signatures(sh: np.ndarray, at: np.ndarray, groups: int, per_group: int) -> n
 
 
 def signed(docs: DataFrame, size: int, groups: int, per_group: int) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit digest of the sorted set; null if empty), sig."""
+    """doc_id, key (of the text), n_shingles, fp (128-bit digest of the sorted set; null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, 1, PIECE):
-            sh, at = shingles(*bytes_of(b.column(1)), size)
+        for b in by_size(batches, 2, PIECE):
+            sh, at = shingles(*bytes_of(b.column(2)), size)
             full = np.diff(at) > 0
             counts, prints = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
             for d in np.flatnonzero(full).tolist():
@@ -90,22 +92,27 @@ def signed(docs: DataFrame, size: int, groups: int, per_group: int) -> DataFrame
                 counts[d], prints[d] = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
             flat = signatures(sh, at, groups, per_group).astype(np.int64).ravel() if full.any() else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32) * np.int32(groups)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(prints, pa.binary()), lists], names=["doc_id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(prints, pa.binary()), lists], names=["doc_id", "key", "n_shingles", "fp", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<long>")
+    return docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, fp binary, sig array<long>")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """id and the sorted set of shingle hashes, as bytes."""
+def text_key(text: Column) -> Column:
+    """Tells the rows of one ``doc_id`` apart; null: empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def sets_of(wanted: DataFrame, size: int) -> DataFrame:
+    """id and the sorted set of shingle hashes, as bytes, of the rows (id, fp, text) whose set has the digest ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, 1, PIECE):
-            sh, at = shingles(*bytes_of(b.column(1)), size)
-            full = np.diff(at) > 0
-            sets = [np.unique(sh[s:e]).tobytes() for s, e in zip(at[:-1][full].tolist(), at[1:][full].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(full)), pa.array(sets, pa.binary())], names=["id", "set"])
+        for b in by_size(batches, 2, PIECE):
+            sh, at = shingles(*bytes_of(b.column(2)), size)
+            sets = [np.unique(sh[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            own = pa.array([len(x) > 0 and hashlib.blake2b(x, digest_size=16).digest() == f.as_py() for x, f in zip(sets, b.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"]).filter(own)
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return wanted.select("id", "fp", "text").mapInArrow(run, "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,17 +166,20 @@ def sized(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent: int, groups: int) -> DataFrame | None:
-    """(id, component) of the class representatives that have a link; None if there is none."""
+def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent: int, groups: int, repeated: bool) -> DataFrame | None:
+    """(id, component) of the classes (id, rep, fp, n, sig) that have a link; None if there is none. Where ids
+    of documents are ``repeated``, a class may have its text in several rows of its representative."""
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.get("sig", i), F.get("sig", j)) for k, (i, j) in enumerate(tables)))
-    entries = reps.select(F.col("rep").alias("id"), "n", F.posexplode(keys).alias("pos", "key"))
+    entries = reps.select("id", "n", F.posexplode(keys).alias("pos", "key"))
     shared = scratch.table(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", "least"), "shared")
     members = scratch.table(entries.join(shared, "key"), "members")
     tried = scratch.table(members.where(F.col("id") != F.col("least.id")).where(sized("n", "least.n", percent)).select(*ordered("least.id", "id")).distinct(), "pairs0")
     members = members.select("key", "pos", "id", "n")
     narrow = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
-    sets = scratch.table(sets_of(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets", narrow)
+    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("rep").alias("doc_id"))
+    sets = sets_of((docs.distinct() if repeated else docs).join(wanted, "doc_id"), size)
+    sets = scratch.table(sets.dropDuplicates(["id"]) if repeated else sets, "sets", narrow)
     found = scratch.table(confirmed(tried, sets, percent), "links0", narrow)
     components, k, changed = None, 0, True
     while True:
@@ -208,7 +218,7 @@ def across(left: DataFrame, sets: DataFrame, reps: DataFrame, scratch: Scratch,
     marks = scratch.table(sketched(sets.join(ids, "id", "left_semi")), "sketches", narrow)
     # The first table that two rows share is told by 31 bits of each signature.
     small = F.transform("sig", lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("sig")
-    marks = marks.join(reps.select(F.col("rep").alias("id"), small), "id")
+    marks = marks.join(reps.select("id", small), "id")
     i, j = (F.get(F.array(*(F.lit(t[x]) for t in tables)), F.col("pos")) for x in (0, 1))
     rows = scratch.table(left.select("key", i.alias("i"), j.alias("j"), "id", "n", "c").join(marks, "id"), "left")
     # Both sides have the same columns in the same order, so one exchange serves both.
@@ -228,29 +238,41 @@ def most_different(percent: int, bits: int) -> int:
     return int(np.ceil(bits * p + 5 * (bits * p * (1 - p)) ** 0.5))
 
 
-def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for every row."""
+def judged(docs: DataFrame, size: int, percent: int = PERCENT, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, component_id (the least doc_id reachable) and kept, for every row."""
     spark = docs.sparkSession
     docs = text_frame(docs)
     with Scratch(spark, "minhash") as scratch:
         sigs = scratch.table(signed(docs, size, groups, per_group), "sigs")
+        repeated = not sigs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
         classes = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-        reps = scratch.table(classes, "reps")
-        linked = links(docs, reps.select("rep", "n", "sig"), scratch, size, percent, groups)
-        placed = reps.select("fp", "rep", "rows")
+        # Classes are told apart by a number of their own, as one doc_id may stand for several; once written, it stays.
+        reps = scratch.table(classes.withColumn("id", F.monotonically_increasing_id() if repeated else F.col("rep")), "reps")
+        linked = links(docs, reps.select("id", "rep", "fp", "n", "sig"), scratch, size, percent, groups, repeated)
+        placed = reps.select("id", "fp", "rep", "rows")
         if linked is None:
             placed = placed.withColumn("component", F.col("rep"))
         else:
-            placed = placed.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "rows", F.coalesce("component", "rep").alias("component"))
+            if repeated:
+                linked = scratch.table(linked.join(reps.select("id", "rep"), "id"), "linked")
+                least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+                linked = hot_join(linked, scratch.table(least, "least"), "component", "n").select("id", F.col("least").alias("component"))
+            placed = placed.join(linked, "id", "left").select("fp", "rows", F.coalesce("component", "rep").alias("component"))
         placed = scratch.table(placed.select("fp", "rows", "component"), "classes")
-        thin = sigs.select("doc_id", "n_shingles", "fp")
-        there = hot_join(thin.where("fp IS NOT NULL AND doc_id IS NOT NULL"), placed, "fp", "rows").select("doc_id", "n_shingles", "component")
-        alone = thin.where("fp IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-        out = there.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+        thin = sigs.select("doc_id", "key", "n_shingles", "fp")
+        there = hot_join(thin.where("fp IS NOT NULL AND doc_id IS NOT NULL"), placed, "fp", "rows").select("doc_id", "key", "n_shingles", "component")
+        alone = thin.where("fp IS NULL OR doc_id IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component"))
+        out = there.unionByName(alone).select("doc_id", "key", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
         return settled(out)
 
 
+def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for every row."""
+    return judged(docs, size, percent, groups, per_group).drop("key")
+
+
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least id, in the columns of ``docs``."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the one with the least id, in the columns of ``docs``; of a repeated id only the rows that are copies go."""
+    gone = judged(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_mh_id"), F.col("key").alias("_mh_key")).distinct()
+    own = (F.col("doc_id").cast("long") == F.col("_mh_id")) & (text_key(F.col("text")) == F.col("_mh_key"))
+    return docs.join(gone, own, "left_anti").select(*docs.columns)

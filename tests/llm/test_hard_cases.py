@@ -80,6 +80,38 @@ def test_alike_words_are_other_shingles_and_other_windows(spark):
     assert sorted(map(tuple, got)) == sorted(suffix_index.brute(rows))
 
 
+def test_texts_that_are_nowhere_else_stay_under_a_repeated_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a), (5, a), (5, b), (7, near), (7, c), (9, b + " too"), (5, a), (11, a.upper()), (7, c), (12, None), (12, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4, 5):
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, size).collect()}
+        n = 41 - size
+        assert got == {(1, n, 1, True), (5, n, 1, False), (5, n, 5, True), (7, n + 1, 1, False), (7, n, 7, True), (9, n + 1, 5, False), (11, n, 1, False), (12, 0, 12, True), (12, n, 1, False), (None, n, None, True)}
+    left = sorted(map(tuple, minhash.deduplicate(df).collect()), key=str)
+    assert left == sorted([(1, a), (5, b), (7, c), (7, c), (12, None), (None, a)], key=str)
+
+
+def test_recall_close_to_the_limit(spark):
+    """Planted pairs of similarity 0.80 to 0.85: all of them are found."""
+    rng = random.Random(31)
+    rows, pairs = [], 0
+    for k in range(300):
+        w = [f"{k}w{i}" for i in range(104)]
+        # Shingles of five: a word in the middle takes five of a hundred, and 100 - x of 100 + x is at least 0.8 up to x = 11.
+        other = list(w)
+        for at in rng.sample(range(10, 90, 10), 2):
+            other[at] = f"z{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    for k in range(300):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(100)} for t in (rows[2 * k][1], rows[2 * k + 1][1]))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.85
+        pairs += got[2 * k + 1] == 2 * k
+    assert pairs == 300
+
+
 def best_window(token, window):
     return max(-sum(c / window * math.log2(c / window) for c in (w.count(x) for x in set(w))) for w in (token[i : i + window] for i in range(len(token) - window + 1)))
 
