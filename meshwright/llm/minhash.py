@@ -37,6 +37,8 @@ GROUPS, PER_GROUP = 14, 2
 PIECE = 4_000_000
 ROUNDS = 2
 SKETCH = 3072
+#: Members of a bucket that one task compares with as many others; larger buckets are cut into blocks of about this size.
+BLOCK = 2000
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -221,15 +223,31 @@ def across(left: DataFrame, sets: DataFrame, reps: DataFrame, scratch: Scratch,
     marks = marks.join(reps.select("id", small), "id")
     i, j = (F.get(F.array(*(F.lit(t[x]) for t in tables)), F.col("pos")) for x in (0, 1))
     rows = scratch.table(left.select("key", i.alias("i"), j.alias("j"), "id", "n", "c").join(marks, "id"), "left")
-    # Both sides have the same columns in the same order, so one exchange serves both.
-    mine, other = (rows.select(*(F.col(c).alias(f"{c}{side}") for c in ("key", "i", "j", "id", "n", "c", "sig", "sketch"))) for side in (1, 2))
     differ = lambda first, last: sum((F.bit_count(F.get("sketch1", w).bitwiseXOR(F.get("sketch2", w))) for w in range(first, last)), F.lit(0))
     words, head = SKETCH // 64, SKETCH // 256
     groups = 1 + max(t[1] for t in tables)
     earlier = sum((((F.col("j1") > g) & (F.col("i1") != g) & (F.get("sig1", g) == F.get("sig2", g))).cast("int") for g in range(groups)), F.lit(0))
     near = (differ(0, head) <= most_different(percent, 64 * head)) & (earlier == 0) & (differ(0, words) <= most_different(percent, SKETCH))
-    possible = (F.col("c1") < F.col("c2")) & sized("n1", "n2", percent) & near
-    return mine.join(other, (mine.key1 == other.key2) & possible).select(*ordered("id1", "id2"))
+    columns = ("key", "i", "j", "id", "n", "c", "sig", "sketch")
+
+    def compared(mine: DataFrame, other: DataFrame, more: Column) -> DataFrame:
+        possible = more & sized("n1", "n2", percent) & near
+        return mine.join(other, (mine.key1 == other.key2) & possible).select(*ordered("id1", "id2"))
+
+    side = lambda df, k, *extra: df.select(*(F.col(c).alias(f"{c}{k}") for c in columns), *extra)
+    large = scratch.table(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK), "large")
+    if large.isEmpty():
+        # Both sides have the same columns in the same order, so one exchange serves both.
+        return compared(side(rows, 1), side(rows, 2), F.col("c1") < F.col("c2"))
+    cold = rows.join(large, "key", "left_anti")
+    # A large bucket is cut into blocks, and each pair of blocks is a key of its own: no task compares a whole bucket.
+    blocks = F.ceil(F.col("k") / BLOCK).cast("long")
+    hot = hot_join(rows, large, "key", "k").withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("id"), blocks)})
+    pair = lambda b, o: F.xxhash64("key", b, o)
+    mine = side(hot.withColumn("o", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumn("key", pair("blk", "o")), 1, F.col("blk").alias("blk1"))
+    other = side(hot.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blk")))).withColumn("key", pair("o", "blk")), 2, F.col("blk").alias("blk2"))
+    apart = F.when(F.col("blk1") == F.col("blk2"), F.col("c1") < F.col("c2")).otherwise((F.col("blk1") < F.col("blk2")) & (F.col("c1") != F.col("c2")))
+    return compared(side(cold, 1), side(cold, 2), F.col("c1") < F.col("c2")).unionByName(compared(mine, other, apart)).distinct()
 
 
 def most_different(percent: int, bits: int) -> int:

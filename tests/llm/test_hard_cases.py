@@ -112,6 +112,20 @@ def test_recall_close_to_the_limit(spark):
     assert pairs == 300
 
 
+def test_blocks_of_a_large_bucket_compare_all_its_members(spark, monkeypatch):
+    """Many documents that share half of their words, in pairs: only the members of a pair are linked."""
+    rng = random.Random(41)
+    common_part = [f"c{i}" for i in range(70)]
+    rows = []
+    for k in range(120):
+        own = [f"{k}x{i}" for i in range(30)]
+        rows += [(2 * k, " ".join(common_part + own)), (2 * k + 1, " ".join([*common_part, *own, f"z{rng.randrange(10**9)}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (minhash.BLOCK, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df, 5).collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
 def best_window(token, window):
     return max(-sum(c / window * math.log2(c / window) for c in (w.count(x) for x in set(w))) for w in (token[i : i + window] for i in range(len(token) - window + 1)))
 
