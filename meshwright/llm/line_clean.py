@@ -22,18 +22,35 @@ WINDOW = 8
 MAX_REPEATED_PERCENT = 30
 #: A document goes when more than this share of its non-blank characters stood in failed lines.
 MAX_LOST_PERCENT = 50
-#: Fixed values of the line rules, matched in lower-cased lines.
-NAVIGATION = r"^(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|read more|share|contact|sitemap)\b[^.!?]*$"
-MENU = NAVIGATION.partition(")")[0] + r")\b"
-MARK = "[.!?…:;]"
-AT_END = ".!?…:;\"'”’»)]"
-FOUR_WORDS = r"^\s*\S+\s+\S+\s+\S+\s+\S"
+#: Fixed values of the line rules, matched in lower-cased lines: words that open a menu line, and phrases, by language.
+MENU_WORDS = {
+    "en": ("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back to top", "skip to content", "read more", "share", "contact", "sitemap"),
+    "de": ("startseite", "menü", "anmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "zum inhalt", "weiterlesen", "mehr lesen", "teilen", "kontakt", "impressum"),
+    "es": ("inicio", "menú", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "ir al contenido", "leer más", "compartir", "contacto"),
+    "fr": ("accueil", "connexion", "se connecter", "s'inscrire", "rechercher", "suivant", "précédent", "haut de page", "aller au contenu", "lire la suite", "partager", "plan du site"),
+}
+PHRASES = {
+    "en": ("enable javascript", "uses cookies", "use of cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "subscribe to our", "click here"),
+    "de": ("javascript aktivieren", "verwendet cookies", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken"),
+    "es": ("activar javascript", "utiliza cookies", "política de cookies", "política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "haz clic aquí"),
+    "fr": ("activer javascript", "utilise des cookies", "politique de cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici"),
+}
+LANGUAGES = tuple(MENU_WORDS)
+#: Sentence marks of Latin, Chinese and Japanese, Arabic and Urdu, Indic and Ethiopic writing; what may stand at a line's end.
+MARKS = ".!?…:;。！？：；．؟۔؛।॥።"
+MARK = f"[{MARKS}]"
+AT_END = MARKS + "\"'”’»)]」』》）】"
+#: A run of letters of a script without blanks between words (Thai, Lao, kana, Han) is as good as four words.
+FOUR_WORDS = r"^\s*\S+\s+\S+\s+\S+\s+\S|[\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]{8}"
 BARS = r"\|[^|]*\|"
 SYMBOL = r"[#*$%&|<>]"
-BOILERPLATE = (
-    "enable javascript", "uses cookies", "use of cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "all rights reserved", "lorem ipsum", "subscribe to our", "click here",
-)
+LINK = r"(https?://|www\.)\S+"
+
+
+def menu_pattern(languages: tuple[str, ...]) -> tuple[str, str]:
+    """A line that opens with a menu word and has no sentence's end; and the opening alone, to be looked for first."""
+    words = "|".join(w for k in languages for w in MENU_WORDS[k])
+    return rf"^({words})([^\p{{L}}\p{{N}}_.!?。！？؟۔।][^.!?。！？؟۔।]*)?$", rf"^({words})([^\p{{L}}\p{{N}}_]|$)"
 
 
 def bound(value: Column, body) -> Column:
@@ -87,31 +104,35 @@ def repeated_words(words: Column, n: Column, window: int = WINDOW) -> Column:
     return F.when(n > window, found).otherwise(F.lit(0).cast("long"))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """Whether one line with at least one word fails a rule.
 
     Punctuation: no sentence mark anywhere, or fewer than four words and no mark at the end.
     Navigation: parts between bars, or a line that opens with a menu word and has no mark.
-    Boilerplate: a fixed phrase, or symbols that make up over a tenth of its characters.
+    Boilerplate: a fixed phrase, symbols that make up over a tenth of its characters, or links that
+    make up over half of them.
     """
+    menu, opening = menu_pattern(languages)
 
     def rules(trimmed: Column) -> Column:
         at_end = F.right(trimmed, F.lit(1)).isin(*AT_END)
         shape = ~trimmed.rlike(MARK) | (~at_end & ~trimmed.rlike(FOUR_WORDS)) | (F.contains(trimmed, F.lit("|")) & trimmed.rlike(BARS))
         heavy = symbols_in(trimmed) * 10 > F.length(trimmed)
-        return shape | heavy | bound(F.lower(trimmed), lambda low: F.when(F.substr(low, F.lit(1), F.lit(20)).rlike(MENU), low.rlike(NAVIGATION)).otherwise(F.lit(False)) | phrase(low))
+        linked = F.when(F.contains(trimmed, F.lit("://")) | F.contains(trimmed, F.lit("www.")), F.length(F.regexp_replace(trimmed, LINK, "")) * 2 < F.length(trimmed)).otherwise(F.lit(False))
+        return shape | heavy | linked | bound(F.lower(trimmed), lambda low: F.when(F.substr(low, F.lit(1), F.lit(20)).rlike(opening), low.rlike(menu)).otherwise(F.lit(False)) | phrase(low))
 
     def phrase(low: Column) -> Column:
-        out = F.contains(low, F.lit(BOILERPLATE[0]))
-        for p in BOILERPLATE[1:]:
+        out = F.lit(False)
+        for p in (p for k in languages for p in PHRASES[k]):
             out = out | F.contains(low, F.lit(p))
         return out
 
     return bound(F.when(F.right(line, F.lit(1)).isin(*SPACES), F.rtrim(line, F.lit(SPACES))).otherwise(line), rules)
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lc_`` columns: the base counts, ``_lc_base_failed``, ``_lc_kept`` and the cleaned text."""
+def judged(docs: DataFrame, text: str = "text", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """``docs`` with ``_lc_`` columns: the base counts, ``_lc_base_failed``, ``_lc_kept`` and the cleaned text.
+    Menu words and phrases are those of the ``languages``, in every document."""
     whole = docs.withColumn("_lc_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
 
     # Arrays stay inside one expression: between two operators they would be copied row by row.
@@ -121,7 +142,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def of_lines(lines: Column) -> Column:
         full = bound(F.filter(lines, lambda x: ~blank(x)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-        good = F.filter(lines, lambda x: blank(x) | ~line_fails(x))
+        good = F.filter(lines, lambda x: blank(x) | ~line_fails(x, languages))
         return F.struct(full.cast("long").alias("n_dup_lines"), F.array_join(good, "\n").alias("cleaned"), F.size(good).alias("n_good"), F.size(lines).alias("n"))
 
     counted = whole.withColumns({"_lc_w": bound(words_of(F.col("_lc_text")), of_words), "_lc_l": bound(F.split(F.col("_lc_text"), "\n"), of_lines)})

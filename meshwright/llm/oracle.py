@@ -85,12 +85,13 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, line, regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), f AS (
-  SELECT doc_id, line, NOT regexp_matches(t, '[.!?…:;]')
-    OR (right(t, 1) NOT IN ('.', '!', '?', '…', ':', ';', '"', '''', '”', '’', '»', ')', ']') AND NOT regexp_matches(t, '^\s*\S+\s+\S+\s+\S+\s+\S'))
+  SELECT doc_id, line, NOT regexp_matches(t, '[.!?…:;。！？：；．؟۔؛।॥።]')
+    OR (right(t, 1) NOT IN ('.', '!', '?', '…', ':', ';', '。', '！', '？', '：', '；', '．', '؟', '۔', '؛', '।', '॥', '።', '"', '''', '”', '’', '»', ')', ']', '」', '』', '》', '）', '】') AND NOT regexp_matches(t, '^\s*\S+\s+\S+\s+\S+\s+\S|[\x{0E00}-\x{0EFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]{8}'))
     OR regexp_matches(t, '\|[^|]*\|')
     OR (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) * 10 > length(t)
-    OR regexp_matches(lower(t), '^(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|read more|share|contact|sitemap)\b[^.!?]*$')
-    OR regexp_matches(lower(t), 'enable javascript|uses cookies|use of cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|subscribe to our|click here') AS bad
+    OR length(regexp_replace(t, '(https?://|www\.)\S+', '', 'g')) * 2 < length(t)
+    OR regexp_matches(lower(t), '^(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|read more|share|contact|sitemap|startseite|menü|anmelden|registrieren|suche|weiter|zurück|nach oben|zum inhalt|weiterlesen|mehr lesen|teilen|kontakt|impressum|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|ir al contenido|leer más|compartir|contacto|accueil|connexion|se connecter|s''inscrire|rechercher|suivant|précédent|haut de page|aller au contenu|lire la suite|partager|plan du site)([^\p{L}\p{N}_.!?。！？؟۔।][^.!?。！？؟۔।]*)?$')
+    OR regexp_matches(lower(t), 'enable javascript|uses cookies|use of cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|subscribe to our|click here|javascript aktivieren|verwendet cookies|cookie-richtlinie|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|newsletter abonnieren|hier klicken|activar javascript|utiliza cookies|política de cookies|política de privacidad|términos de uso|todos los derechos reservados|haga clic aquí|haz clic aquí|activer javascript|utilise des cookies|politique de cookies|politique de confidentialité|conditions d''utilisation|tous droits réservés|cliquez ici') AS bad
   FROM l
 ), by_line AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(CASE WHEN bad THEN length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) END), 0) AS n_lost FROM f GROUP BY 1

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.llm import common, minhash, secrets, suffix_index, token_orc, unigram, url_trie
+from meshwright.llm import common, line_clean, minhash, secrets, suffix_index, token_orc, unigram, url_trie
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -182,3 +182,41 @@ def test_a_million_rules_of_one_host():
         assert trie.find("www.big.com", f"/{k:x}q/rest") == (f"big.com/{k:x}q", "block" if k % 3 else "allow")
         assert trie.find("big.com", f"/{k:x}z") is None
     assert time.time() - before < 20
+
+
+def test_lines_of_many_languages_against_brute_force(spark):
+    from test_pipeline import bad_line
+
+    lines = [
+        "天气很好，我们去公园散步。", "他说：今天没有时间", "首页", "これは長い文章です。", "これは長い文章ですけれども", "هل هذا سؤال؟", "یہ ایک جملہ ہے۔", "यह एक वाक्य है।", "Menü | Suche | Kontakt",
+        "Startseite und noch mehr Dinge: ja", "Weiter geht es mit dem Text.", "Zurück", "zurückgelegt: drei Kilometer am Tag", "Précédent: suivant", "Leer más…", "Inicio: el comienzo de todo!",
+        "Alle Rechte vorbehalten, seit dem Jahr 2001.", "Tous droits réservés. Merci à vous.", "Cet article utilise des cookies: oui.", "https://a.example/x?y=1 is here.", "See www.example.com for more of this long text.",
+        "www.example.com/a/very/long/path/of/a/page.", "Homeward bound we went; nothing else", "home; sweet home of ours", "a b c d: e", "a b c: d", "Next!", "next_one: a b c d", "##$$ two: x", "ไทยไม่มีช่องว่างระหว่างคำ: ใช่",
+    ]
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select("t", line_clean.line_fails(F.col("t")).alias("bad")).collect()
+    assert {r.t: r.bad for r in got} == {x: bad_line(x) for x in lines}
+    page = "\n".join(f"今天是第{k}天，我们一起去看了第{k + 3}部电影，大家都很高兴。" for k in range(12))
+    r = line_clean.quality(spark.createDataFrame([(1, page)], "doc_id long, text string")).first()
+    assert r.n_lost_chars == 0
+
+
+def test_line_rules_match_their_sql(spark, tmp_path):
+    """The SQL of op9 on lines of many languages."""
+    import duckdb
+
+    from meshwright.llm.oracle import ORACLE
+    from test_pipeline import MENU, PHRASES
+
+    rng = random.Random(51)
+    some = [*MENU, *PHRASES, "word", "Wort", "über", "漢字かな交じりの文です", "。", "：", "؟", " | ", ".", "; ", "https://x.example/abc", "www.x.example", "é", "#", " ", "  "]
+    texts = ["\n".join("".join(rng.choice(some) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "d.parquet")
+    df.coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    found = duck.execute(ORACLE["op9_line_clean"])
+    names = [x[0] for x in found.description]
+    want = sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall())
+    rows = line_clean.quality(df)
+    assert sorted(tuple(r[c] for c in sorted(rows.columns)) for r in rows.collect()) == want

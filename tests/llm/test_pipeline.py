@@ -46,17 +46,44 @@ def words(text):
     return [w for w in re.split(f"[{SPACES}]+", text) if w]
 
 
+MENU = [
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back to top", "skip to content", "read more", "share", "contact", "sitemap",
+    "startseite", "menü", "anmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "zum inhalt", "weiterlesen", "mehr lesen", "teilen", "kontakt", "impressum",
+    "inicio", "menú", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "ir al contenido", "leer más", "compartir", "contacto",
+    "accueil", "connexion", "se connecter", "s'inscrire", "rechercher", "suivant", "précédent", "haut de page", "aller au contenu", "lire la suite", "partager", "plan du site",
+]
+PHRASES = [
+    "enable javascript", "uses cookies", "use of cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "subscribe to our", "click here",
+    "javascript aktivieren", "verwendet cookies", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken",
+    "activar javascript", "utiliza cookies", "política de cookies", "política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "haz clic aquí",
+    "activer javascript", "utilise des cookies", "politique de cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici",
+]
+MARKS = ".!?…:;。！？：；．؟۔؛।॥።"
+
+
+def unspaced(line):
+    best = n = 0
+    for c in line:
+        n = n + 1 if any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF))) else 0
+        best = max(best, n)
+    return best >= 8
+
+
+def menu_line(low):
+    for w in MENU:
+        rest = low[len(w) :]
+        if low.startswith(w) and (not rest or not (rest[0].isalpha() or rest[0].isnumeric() or rest[0] == "_")) and not any(c in ".!?。！？؟۔।" for c in rest):
+            return True
+    return False
+
+
 def bad_line(line):
     t = line.rstrip(SPACES)
     low = t.lower()
-    menu = r"^(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|read more|share|contact|sitemap)\b[^.!?]*$"
-    phrases = (
-        "enable javascript", "uses cookies", "use of cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
-        "lorem ipsum", "subscribe to our", "click here",
-    )
+    links = sum(len(m[0]) for m in re.finditer(r"(https?://|www\.)[^ \t\n\f\r\v]+", t))
     return bool(
-        not re.search("[.!?…:;]", t) or (t[-1] not in ".!?…:;\"'”’»)]" and len(words(t)) < 4) or t.count("|") > 1
-        or 10 * sum(c in "#*$%&|<>" for c in t) > len(t) or re.search(menu, low, re.ASCII) or any(p in low for p in phrases)
+        not any(c in MARKS for c in t) or (t[-1] not in MARKS + "\"'”’»)]」』》）】" and len(words(t)) < 4 and not unspaced(t)) or t.count("|") > 1
+        or 10 * sum(c in "#*$%&|<>" for c in t) > len(t) or 2 * (len(t) - links) < len(t) or menu_line(low) or any(p in low for p in PHRASES)
     )
 
 
