@@ -13,9 +13,10 @@ forward, and only URLs that cross ranges (at most one for each border) pass thei
 
 Cases: a null or empty URL, or a null time, leaves a revisit unresolved and makes a response no
 candidate; null headers are empty; repeated rows are resolved each for itself; ties in time are
-ordered by record_id, and a response with both alike is not earlier; several responses with one record_id count as one (the first of them); a
-record_id may be null: such a revisit is resolved like any other, and such responses are told apart by URL, time and validators; an
-empty table gives no rows; other columns are not read.
+ordered by record_id, then by validators, and a response with time and record_id alike is not earlier;
+responses are told apart by record_id (which may be null), URL, time and validators, and of those that
+agree in all of them the one with the least headers counts; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -62,9 +63,9 @@ def as_of(thin: DataFrame, scratch: Scratch) -> DataFrame:
     ranged = thin.repartitionByRange(parts, "canon", "ts", "record_id", "full").withColumn("part", F.spark_partition_id())
     ranged = scratch.table(ranged, "ranged")
     own = F.when(F.col("full"), F.struct("record_id", "ts", "v"))
-    near = F.last(own, ignorenulls=True).over(W.partitionBy("part", "canon").orderBy("ts", "record_id", "full").rowsBetween(W.unboundedPreceding, -1))
+    near = F.last(own, ignorenulls=True).over(W.partitionBy("part", "canon").orderBy("ts", "record_id", "full", "v").rowsBetween(W.unboundedPreceding, -1))
     crossing = ranged.groupBy("canon").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("canon")
-    ends = ranged.join(crossing, "canon", "left_semi").groupBy("canon", "part").agg(F.max_by(own, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("last"))
+    ends = ranged.join(crossing, "canon", "left_semi").groupBy("canon", "part").agg(F.max_by(own, F.when(F.col("full"), F.struct("ts", "record_id", "v"))).alias("last"))
     before = F.last("last", ignorenulls=True).over(W.partitionBy("canon").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     # At most two rows for each border between ranges.
     carried = scratch.table(ends.withColumn("carried", before).where("carried IS NOT NULL").select("canon", "part", "carried"), "carried")
@@ -79,8 +80,8 @@ def resolve(records: DataFrame) -> DataFrame:
     of = lambda name: F.try_element_at("headers", F.lit(name))
     v = F.struct(of("etag").alias("etag"), of("last-modified").alias("last_modified"), of("warc-payload-digest").alias("digest"))
     whole = F.col("canon").isNotNull() & F.col("ts").isNotNull()
-    # What tells responses apart: the record_id, or where it is null, URL, time and validators.
-    named_by = lambda i, canon, ts, v: F.when(i.isNotNull(), F.concat(F.lit("id "), i.cast("string"))).otherwise(F.concat(F.lit("at "), F.to_json(F.struct(canon.alias("c"), ts.cast("string").alias("t"), v.alias("v")))))
+    # What tells responses apart, as one text, since nulls are values here.
+    named_by = lambda i, canon, ts, v: F.to_json(F.struct(i.alias("i"), canon.alias("c"), ts.cast("string").alias("t"), v.alias("v")))
     with Scratch(records.sparkSession, "warc") as scratch:
         # Revisits carry their own headers, as a record_id may repeat or be null; those of responses stay behind.
         own = F.when(F.col("status") == 304, F.col("headers"))
@@ -90,7 +91,8 @@ def resolve(records: DataFrame) -> DataFrame:
         source = F.when(F.col("prior").isNotNull(), named_by(F.col("prior.record_id"), F.col("canon"), F.col("prior.ts"), F.col("prior.v")))
         rows = asked.select("record_id", "canon", F.col("prior.record_id").alias("refers_to"), source.alias("source"), check.alias("check"), "headers")
         rows = scratch.table(rows.withColumn("resolved", F.col("check").isin("etag", "last-modified", "digest")), "rows")
-        stored = base.where("status = 200").groupBy(named_by(F.col("record_id"), F.col("canon"), F.col("ts"), v).alias("source")).agg(F.first("headers").alias("stored"))
+        stored = base.where("status = 200").groupBy(named_by(F.col("record_id"), F.col("canon"), F.col("ts"), v).alias("source"))
+        stored = stored.agg(F.map_from_entries(F.min(F.array_sort(F.map_entries("headers")))).alias("stored"))
         counts = rows.where("resolved").groupBy("source").agg(F.count("*").alias("n"))
         named = scratch.table(counts.join(stored, "source"), "named")
         merged = F.map_zip_with("stored", "headers", lambda k, a, b: F.when(k.isin(*NOT_UPDATED), a).otherwise(F.coalesce(b, a)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.llm import common, line_clean, minhash, secrets, suffix_index, token_orc, unigram, url_trie
+from meshwright.llm import common, line_clean, minhash, secrets, suffix_index, token_orc, unigram, url_trie, warc
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -220,3 +220,18 @@ def test_line_rules_match_their_sql(spark, tmp_path):
     want = sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall())
     rows = line_clean.quality(df)
     assert sorted(tuple(r[c] for c in sorted(rows.columns)) for r in rows.collect()) == want
+
+
+def test_responses_with_one_record_id_are_told_apart(spark):
+    rows = [
+        ("r", "http://x.org/", 10, 200, {"etag": "1", "of": "old"}), ("r", "http://x.org/", 30, 200, {"etag": "2", "of": "new"}), ("r", "http://y.org/", 30, 200, {"etag": "2", "of": "y"}),
+        ("r", "http://x.org/", 50, 200, {"etag": "3", "of": "b"}), ("r", "http://x.org/", 50, 200, {"etag": "3", "of": "a"}),
+        ("q", "http://x.org/", 20, 304, {"etag": "1", "n": "first"}), ("q", "http://x.org/", 40, 304, {"etag": "2", "n": "second"}), ("q", "http://y.org/", 40, 304, {"etag": "2", "n": "third"}),
+        ("q", "http://x.org/", 60, 304, {"etag": "3", "n": "fourth"}),
+    ]
+    rng = random.Random(61)
+    for _ in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "record_id string, uri string, ts long, status int, headers map<string,string>").repartition(3)
+        got = {r.headers["n"]: r.headers["of"] for r in warc.resolve(df).collect()}
+        assert got == {"first": "old", "second": "new", "third": "y", "fourth": "a"}
