@@ -6,16 +6,19 @@ smaller ``doc_id``. Suffixes are sampled where a window's content says so: of al
 neighbouring windows with the same gram form a run. Equal windows have equal grams, so every
 match shows among suffixes that begin with equal grams.
 
+The arrays are in alphabetical order: by the first 16 bytes of the sampled suffix and the next 8 (in
+the closer looks with longer grams by a hash of the gram instead of those 8), so grams of 20
+bytes are compared byte by byte. Behind equal grams stands a 62-bit hash of the run's whole content.
+
 The sampled suffixes are dealt out by their gram. In each deal a family of suffix arrays grows
 in batches of ascending document ids: a new batch is sorted, merged against every level for
 equal beginnings, and pushed as a level of rank 0; two levels of a rank merge into one of the
-next. A level keeps the first document of each distinct run only.
+next. A level keeps the first document of each distinct run only. ``deduplicated`` grows a
+family inside one job; ``Index`` keeps one in files, and takes batch after batch.
 
 A run whose whole content is in an earlier document is a match as it stands. A run that shares
 its gram but not its whole content is looked at again with longer grams, and at last window by
-window, so the result is exact up to collisions of 128-bit hashes. The arrays are ordered by
-the gram's hash, not alphabetically: a merge-scan for matches needs equal beginnings to be
-neighbours, not their order.
+window, so the result is exact up to collisions of the hashes of contents with equal grams.
 
 Cases: null and empty texts, and texts under MATCH bytes, lose nothing; a row with a null
 ``doc_id`` is neither earlier nor later than any other and stays whole; rows that share a
@@ -27,11 +30,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -45,24 +49,25 @@ SLICE = 1_000_000
 #: Text bytes whose runs are combined before they are dealt out, and text bytes for each deal.
 FLUSH = 16_000_000
 DEAL = 16_000_000
-NAMES = ("key", "body", "doc", "sub", "start", "count")
-KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32)
+#: The gram's bytes 0-7, 8-15 and the rest, the content's hash, and where the run is.
+GRAM = ("high", "middle", "low")
+NAMES = (*GRAM, "body", "doc", "sub", "start", "count")
+KINDS = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32)
 Columns = dict[str, np.ndarray]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, gram: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start, number of windows, gram hash and content hash of each run; gram = MATCH: of each window."""
+def runs(data: np.ndarray, offsets: np.ndarray, gram: int, wanted: np.ndarray | None) -> tuple[np.ndarray, Columns]:
+    """Text of each run, and its gram, content hash, start and number of windows; gram = MATCH: of each window."""
     n = len(data) - MATCH + 1
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: max(n, 0)]
     if n <= 0:
-        zero = np.zeros(0, np.int64)
-        return zero, zero, zero, zero.astype(np.uint64), zero.astype(np.uint64)
+        return np.zeros(0, np.int64), {k: np.zeros(0, t) for k, t in zip((*GRAM, "body", "start", "count"), (np.uint64,) * 4 + (np.int64,) * 2, strict=True)}
     valid = np.arange(n) + MATCH <= offsets[1:][text]
     if wanted is not None:
         valid &= wanted[:n]
     prefixes = Prefixes(data, 31)
     ends = np.arange(gram, len(data) + 1)
-    least = mixed(prefixes.of(ends - gram, ends))
+    hashes = least = mixed(prefixes.of(ends - gram, ends))
     width, size = MATCH - gram + 1, 1
     while size * 2 <= width:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
@@ -74,16 +79,32 @@ def runs(data: np.ndarray, offsets: np.ndarray, gram: int, wanted: np.ndarray |
         apart = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
         start = np.flatnonzero(valid & np.concatenate([[True], apart | ~valid[:-1]]))
         last = np.flatnonzero(valid & np.concatenate([apart | ~valid[1:], [True]]))
+    own, at, left = least[start], start.copy(), np.arange(len(start))
+    for k in range(width):
+        left = left[hashes[start[left] + k] != own[left]] if k else left[hashes[start[left]] != own[left]]
+        at[left] = start[left] + k + 1
+        if not len(left):
+            break
+    words = np.zeros((3, len(start)), np.uint64)
+    for k in range(min(gram, 24)):
+        words[k // 8] |= data[at + k].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
+    if gram > 24:
+        words[2] = own
     body = mixed(Prefixes(data, 37).of(start, last + MATCH) + (last - start).astype(np.uint64))
-    return text[start], start - offsets[:-1][text[start]], last - start + 1, least[start], body
+    return text[start], dict(zip(GRAM, words, strict=True)) | {"body": body, "start": start - offsets[:-1][text[start]], "count": last - start + 1}
+
+
+def tags(c: Columns) -> np.ndarray:
+    """One number for each gram; equal grams have equal ones."""
+    return mixed(c["high"] ^ mixed(c["middle"] ^ mixed(c["low"])))
 
 
 def packed(c: Columns) -> bytes:
-    """Columns sorted by key as bytes: key differences and byte planes compress well."""
+    """Sorted columns as bytes: differences of the first words and byte planes compress well."""
     planes = []
     for name, kind in zip(NAMES, KINDS, strict=True):
         v = c[name].astype(kind)
-        v = np.diff(v, prepend=np.uint64(0)) if name == "key" else v
+        v = np.diff(v, prepend=np.uint64(0)) if name == "high" else v
         planes.append(np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -94,7 +115,7 @@ def unpacked(blob: bytes, n: int) -> Columns:
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
         v = np.ascontiguousarray(planes.T).view(kind).ravel()
-        out[name], at = np.cumsum(v, dtype=np.uint64) if name == "key" else v, at + n * size
+        out[name], at = np.cumsum(v, dtype=np.uint64) if name == "high" else v, at + n * size
     return out
 
 
@@ -107,7 +128,7 @@ def joined(parts: list[Columns]) -> Columns:
 
 
 def in_order(c: Columns) -> Columns:
-    return taken(c, np.lexsort((c["start"], c["sub"], c["doc"], c["body"], c["key"])))
+    return taken(c, np.lexsort((c["doc"], c["body"], c["low"], c["middle"], c["high"])))
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -121,7 +142,7 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 
 def later(c: Columns) -> np.ndarray:
     """Of sorted rows: whether the same run is in a document with a smaller id."""
-    new = changes(c["key"], c["body"])
+    new = changes(*(c[k] for k in (*GRAM, "body")))
     return c["doc"] > c["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new
 
 
@@ -130,23 +151,25 @@ class Family:
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, Columns]] = []
+        self.grew = False
 
     def absorb(self, batch: Columns) -> tuple[Columns, Columns]:
         """Add a batch of larger document ids. Gives the runs found earlier, and those to look at again."""
-        batch = in_order(batch) | {}
-        n = len(batch["key"])
+        batch = in_order(batch)
+        n = len(batch["high"])
         parts = [batch | {"level": np.full(n, -1), "row": np.arange(n), "sent": np.zeros(n, bool)}]
+        mine = np.unique(tags(batch))
         for k, (_, level) in enumerate(self.levels):
-            at = np.minimum(np.searchsorted(batch["key"], level["key"]), max(n - 1, 0))
-            near = np.flatnonzero(batch["key"][at] == level["key"]) if n else np.zeros(0, np.int64)
+            theirs = tags(level)
+            near = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs) if n else np.zeros(0, np.int64)
             parts.append(taken(level, near) | {"level": np.full(len(near), k), "row": near})
         both = in_order(joined(parts)) if len(parts) > 1 else parts[0]
         late = later(both)
         found = taken(both, late)
         fresh = taken(both, ~late)
         again = np.zeros(0, bool)
-        if len(fresh["key"]):
-            new = changes(fresh["key"])
+        if len(fresh["high"]):
+            new = changes(*(fresh[k] for k in GRAM))
             at, group = np.flatnonzero(new), np.cumsum(new) - 1
             several = np.minimum.reduceat(fresh["doc"], at) < np.maximum.reduceat(fresh["doc"], at)
             again = several[group] & ~fresh["sent"]
@@ -158,12 +181,13 @@ class Family:
         return found, out
 
     def push(self, level: Columns) -> None:
-        rank = 0
+        rank, self.grew = 0, True
         while self.levels and self.levels[-1][0] == rank:
             level, rank = in_order(joined([self.levels.pop()[1], level])), rank + 1
         self.levels.append((rank, level))
 
 
+MANIFEST = "version int, level int, rank int, deals int, last_id long"
 FOUND = "doc_id long, sub int, start int, count int, again boolean"
 DEALT = "deal int, batch int, n int, blob binary"
 
@@ -178,15 +202,15 @@ def dealt(texts: DataFrame, gram: int, deals: int, bounds: list[int]) -> DataFra
         late = later(c)
         rows = []
         first, gone = taken(c, ~late), taken(c, late)
-        deal = ((first["key"] >> np.uint64(20)) % np.uint64(deals)).astype(np.int64)
+        deal = (tags(first) % np.uint64(deals)).astype(np.int64)
         batch = np.searchsorted(bounds, first["doc"], "left")
         label = deal * (len(bounds) + 1) + batch
         order = np.argsort(label, kind="stable")
         cut = np.flatnonzero(changes(label[order]))
         for which in np.split(order, cut[1:]) if len(order) else []:
             rows.append((int(deal[which[0]]), int(batch[which[0]]), len(which), packed(taken(first, which))))
-        if len(gone["key"]):
-            rows.append((int(gone["key"][0] % np.uint64(deals)), -1, len(gone["key"]), packed(gone)))
+        if len(gone["high"]):
+            rows.append((int(tags(taken(gone, slice(1)))[0] % np.uint64(deals)), -1, len(gone["high"]), packed(gone)))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["deal", "batch", "n", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,15 +231,15 @@ def dealt(texts: DataFrame, gram: int, deals: int, bounds: list[int]) -> DataFra
                         np.add.at(steps, at[k] + low, 1)
                         np.add.at(steps, at[k] + high, -1)
                     wanted = np.cumsum(steps)[:-1] > 0
-                text, start, count, key, body = runs(part, at, gram, wanted)
+                text, c = runs(part, at, gram, wanted)
                 row = np.asarray(rows)[text] if len(text) else np.zeros(0, np.int64)
-                parts.append({"key": key, "body": body, "doc": ids[row], "sub": subs[row], "start": (start + base).astype(np.int32), "count": count.astype(np.int32)})
+                parts.append({k: c[k] for k in (*GRAM, "body")} | {"doc": ids[row], "sub": subs[row], "start": (c["start"] + base).astype(np.int32), "count": c["count"].astype(np.int32)})
                 held += len(part)
             if held >= FLUSH:
-                if any(len(p["key"]) for p in parts):
+                if any(len(p["high"]) for p in parts):
                     yield flushed(parts)
                 parts, held = [], 0
-        if any(len(p["key"]) for p in parts):
+        if any(len(p["high"]) for p in parts):
             yield flushed(parts)
 
     return texts.mapInArrow(run, DEALT)
@@ -232,22 +256,33 @@ def sliced(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list[int], i
         yield list(range(n)), 0, data, offsets
 
 
-def scanned(table: pa.Table) -> pa.Table:
-    """One deal: the family takes its batches in order of document ids."""
-    batch, sizes, blobs = table.column("batch").to_numpy(), table.column("n").to_numpy(), table.column("blob")
-    family, found, again = Family(), [], []
+def unpacked_rows(table: pa.Table, which: np.ndarray) -> Columns:
+    sizes, blobs = table.column("n").to_numpy(), table.column("blob")
+    return joined([unpacked(blobs[int(i)].as_py(), int(sizes[i])) for i in which]) if len(which) else {k: np.zeros(0, t) for k, t in zip(NAMES, KINDS, strict=True)}
+
+
+def grown(family: Family, table: pa.Table) -> list[tuple[Columns, bool]]:
+    """The family takes a deal's batches in order of document ids: runs found earlier, and (True) runs to look at again."""
+    batch, out = table.column("batch").to_numpy(), []
     for k in np.unique(batch).tolist():
-        parts = joined([unpacked(blobs[int(i)].as_py(), int(sizes[i])) for i in np.flatnonzero(batch == k)])
+        parts = unpacked_rows(table, np.flatnonzero(batch == k))
         if k < 0:
-            found.append(parts)
+            out.append((parts, False))
             continue
         hit, more = family.absorb(parts)
-        found.append(hit)
-        again.append(more)
-    out = [(c, flag) for cs, flag in ((found, False), (again, True)) for c in cs if len(c["key"])]
-    columns = [pa.array(np.concatenate([c[k] for c, _ in out]) if out else np.zeros(0, t), t) for k, t in (("doc", pa.int64()), ("sub", pa.int32()), ("start", pa.int32()), ("count", pa.int32()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
-    flags = pa.array(np.concatenate([np.full(len(c["key"]), flag) for c, flag in out]) if out else [], pa.bool_())
-    return pa.Table.from_arrays([*columns, flags], names=["doc_id", "sub", "start", "count", "again"])
+        out += [(hit, False), (more, True)]
+    return [(c, again) for c, again in out if len(c["high"])]
+
+
+def found_columns(out: list[tuple[Columns, bool]]) -> list[pa.Array]:
+    """doc_id, sub, start, count, again."""
+    columns = [pa.array(np.concatenate([np.zeros(0, t), *(c[k] for c, _ in out)])) for k, t in (("doc", np.int64), ("sub", np.int32), ("start", np.int32), ("count", np.int32))]
+    return [*columns, pa.array(np.concatenate([np.zeros(0, bool), *(np.full(len(c["high"]), again) for c, again in out)]), pa.bool_())]
+
+
+def scanned(table: pa.Table) -> pa.Table:
+    """One deal."""
+    return pa.Table.from_arrays(found_columns(grown(Family(), table)), names=["doc_id", "sub", "start", "count", "again"])
 
 
 def flat(found: DataFrame) -> DataFrame:
@@ -290,29 +325,37 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sub", F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1)
 
 
+def closer(texts: DataFrame, found: DataFrame, deals: int, scratch: Scratch) -> DataFrame:
+    """All matches, from the first look's ``found``: what is to be looked at again goes through longer grams."""
+    parts = [found.where(~F.col("again"))]
+    for k, gram in enumerate((*GRAMS[1:], MATCH)):
+        again = found.where("again")
+        if again.isEmpty():
+            break
+        rows = dealt(texts.join(flat(again), ["doc_id", "sub"]), gram, deals, [])
+        found = scratch.table(rows.groupBy("deal").applyInArrow(scanned, FOUND), f"closer{k}")
+        parts.append(found.where(~F.col("again")))
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "sub", "start", "count")
+
+
+def long_enough(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").where(F.octet_length("text") >= MATCH).select("doc_id", "sub", "text")
+
+
+def deals_of(texts: DataFrame) -> int:
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(8, -(-int(total) // DEAL))
+
+
 def repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, deals: int | None = None) -> DataFrame:
     """(doc_id, sub, start, count): windows that also start in an earlier document, as ranges of window starts.
 
     ``docs`` comes from ``numbered``."""
-    spark = docs.sparkSession
-    sized = docs.where("doc_id IS NOT NULL").where(F.octet_length("text") >= MATCH).select("doc_id", "sub", "text")
-    if deals is None:
-        total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        deals = max(8, -(-int(total) // DEAL))
-    bounds = sorted({int(x) for x in sized.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    texts, parts = sized, []
-    for k, gram in enumerate((*GRAMS, MATCH)):
-        found = dealt(texts, gram, deals, bounds).groupBy("deal").applyInArrow(scanned, FOUND)
-        found = scratch.table(found, f"found{k}")
-        parts.append(found.where(~F.col("again")))
-        again = found.where("again")
-        if gram == MATCH or again.isEmpty():
-            break
-        texts = sized.join(flat(again), ["doc_id", "sub"])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("doc_id", "sub", "start", "count")
+    texts = long_enough(docs)
+    deals = deals or deals_of(texts)
+    bounds = sorted({int(x) for x in texts.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    found = dealt(texts, GRAMS[0], deals, bounds).groupBy("deal").applyInArrow(scanned, FOUND)
+    return closer(texts, scratch.table(found, "found"), deals, scratch)
 
 
 def deduplicated(docs: DataFrame, batches: int = BATCHES, deals: int | None = None) -> DataFrame:
@@ -323,20 +366,75 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, deals: int | None = No
         return settled(cut_out(rows.join(ranges, ["doc_id", "sub"], "left").select("doc_id", "text", "ranges")))
 
 
-def brute(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
-    """The same by a dictionary of all windows; for tests."""
-    first: dict[bytes, int] = {}
-    raw = [(d, (t or "").encode()) for d, t in docs]
-    for d, b in raw:
-        for s in range(len(b) - MATCH + 1) if d is not None else ():
-            w = b[s : s + MATCH]
-            first[w] = min(first.get(w, d), d)
-    out = []
-    for d, b in raw:
-        gone = bytearray(len(b))
-        for s in range(len(b) - MATCH + 1) if d is not None else ():
-            if first[b[s : s + MATCH]] < d:
-                gone[s : s + MATCH] = b"\x01" * MATCH
-        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    return out
+class Index:
+    """A family of suffix arrays in files under ``path``, which grows by batches of ascending document ids.
+
+    A level is a folder with one row for each deal; ``manifest`` names the levels of every version. Adding
+    a batch writes its texts and one level, that of its own suffixes and of the levels that merge with
+    it; the others stay as they are. ``deals`` is fixed by the first batch (one for DEAL text bytes
+    unless given): a deal's share of all levels is held by one task, so give the number that the
+    whole corpus will need. A batch that was not finished leaves files that the next one replaces.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, deals: int | None = None):
+        self.spark, self.path, self.deals = spark, path.rstrip("/"), deals
+
+    def versions(self) -> list[Row]:
+        """(version, level, rank, deals, last_id) of the newest version's levels, in their order."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return []
+        manifest = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        newest = manifest.agg(F.max("version")).first()[0]
+        return sorted(manifest.where(F.col("version") == newest).collect(), key=lambda r: r.level)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of the batch; its ids must be above all earlier ones."""
+        spark, now = self.spark, self.versions()
+        rows = numbered(docs)
+        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        before = max((r.last_id for r in now), default=None)
+        if low is not None and before is not None and low <= before:
+            raise ValueError(f"document ids of a batch must be above {before}, found {low}")
+        version = now[0].version + 1 if now else 1
+        deals = now[0].deals if now else self.deals or deals_of(long_enough(rows))
+        levels = [(r.level, r.rank) for r in now]
+        rank, merged = 0, 0
+        while merged < len(levels) and levels[-1 - merged][1] == rank:
+            rank, merged = rank + 1, merged + 1
+        ranks = [r for _, r in levels]
+
+        def run(table: pa.Table) -> pa.Table:
+            level = table.column("level").to_numpy()
+            family = Family()
+            for k, r in enumerate(ranks):
+                c = unpacked_rows(table, np.flatnonzero(level == k))
+                family.levels.append((r, c | {"sent": np.zeros(len(c["high"]), bool)}))
+            out = grown(family, table.filter(pa.array(level < 0)))
+            if not family.grew:
+                family.push({k: np.zeros(0, t) for k, t in zip((*NAMES, "sent"), (*KINDS, bool), strict=True)})
+            last = family.levels[-1][1]
+            columns, n = found_columns(out), sum(len(c["high"]) for c, _ in out)
+            extra = [pa.array([deal] * n + [deal], pa.int32()) for deal in [table.column("deal")[0].as_py()]]
+            columns = [pa.concat_arrays([c, pa.array([None], c.type)]) for c in columns]
+            sizes, blobs = pa.array([None] * n + [len(last["high"])], pa.int32()), pa.array([None] * n + [packed(last)], pa.binary())
+            return pa.Table.from_arrays([*columns, *extra, sizes, blobs], names=["doc_id", "sub", "start", "count", "again", "deal", "n", "blob"])
+
+        with Scratch(spark, "suffix-index") as scratch:
+            long_enough(rows).write.mode("overwrite").parquet(f"{self.path}/texts/batch={version}")
+            batch = spark.read.schema("doc_id long, sub int, text string").parquet(f"{self.path}/texts/batch={version}")
+            parts = [dealt(batch, GRAMS[0], deals, []).withColumn("level", F.lit(-1))]
+            for k, (name, _) in enumerate(levels):
+                stored = spark.read.schema("deal int, n int, blob binary").parquet(f"{self.path}/levels/{name}")
+                parts.append(stored.select("deal", F.lit(0).alias("batch"), "n", "blob", F.lit(k).alias("level")))
+            done = scratch.table(reduce(DataFrame.unionByName, parts).groupBy("deal").applyInArrow(run, f"{FOUND}, deal int, n int, blob binary"), "first")
+            done.where("blob IS NOT NULL").select("deal", "n", "blob").write.mode("overwrite").parquet(f"{self.path}/levels/{version}")
+            texts = spark.read.schema("doc_id long, sub int, text string").parquet(*(f"{self.path}/texts/batch={k}" for k in range(1, version + 1)))
+            found = closer(texts, done.where("blob IS NULL").select("doc_id", "sub", "start", "count", "again"), deals, scratch)
+            found = found.join(batch.select("doc_id", "sub"), ["doc_id", "sub"], "left_semi")
+            out = settled(cut_out(rows.join(flat(found), ["doc_id", "sub"], "left").select("doc_id", "text", "ranges")))
+        last = max(x for x in (before, high, -(2**63)) if x is not None)
+        kept = [*levels[: len(levels) - merged], (version, rank)]
+        spark.createDataFrame([(version, name, r, deals, last) for name, r in kept], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        return out

@@ -19,7 +19,6 @@ pass over the documents for each group.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -233,20 +232,3 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, in the columns of ``docs``."""
     return marked(docs, benchmark).where(~F.col("_wm_contaminated")).select(*docs.columns)
-
-
-def brute(text: str | None, items: list[tuple[str | None, str | None]], size: int = WINDOW) -> tuple[int, int, list[str]]:
-    """The same by trying every window at every word; for tests."""
-    words = WORDS.findall((text or "").encode().lower())
-    hit, names = set(), set()
-    for item, other in items:
-        for w in windows(other, size):
-            for i in range(len(words) - len(w) + 1):
-                if words[i : i + len(w)] == w:
-                    hit.update(range(i, i + len(w)))
-                    names.update([item] if item is not None else [])
-    return len(words), len(hit), sorted(names)
-
-
-def items_sha256(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.llm import common, line_clean, minhash, secrets, suffix_index, token_orc, unigram, url_trie, warc
+from tests_llm_brute import brute_repeats
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -77,7 +78,7 @@ def test_alike_words_are_other_shingles_and_other_windows(spark):
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 5).collect()) == [(1, 1), (2, 2), (3, 1)]
     rows = [(1, s), (2, o), (3, s + o)]
     got = suffix_index.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == sorted(suffix_index.brute(rows))
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
 
 
 def test_texts_that_are_nowhere_else_stay_under_a_repeated_id(spark):
@@ -235,3 +236,45 @@ def test_responses_with_one_record_id_are_told_apart(spark):
         df = spark.createDataFrame(rows, "record_id string, uri string, ts long, status int, headers map<string,string>").repartition(3)
         got = {r.headers["n"]: r.headers["of"] for r in warc.resolve(df).collect()}
         assert got == {"first": "old", "second": "new", "third": "y", "fourth": "a"}
+
+
+def test_arrays_are_in_alphabetical_order():
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 101, 4000).astype(np.uint8)
+    raw = data.tobytes()
+    for gram in (20, 40, 50):
+        text, c = suffix_index.runs(data, np.array([0, len(data)]), gram, None)
+        ordered = suffix_index.in_order(c | {"doc": text})
+        high = ordered["high"].tolist()
+        assert high == sorted(high) and len(high)
+        for k in range(len(high)):
+            begin = int(ordered["start"][k])
+            first = ordered["high"][k].tobytes()[::-1] + ordered["middle"][k].tobytes()[::-1] + (ordered["low"][k].tobytes()[::-1][:4] if gram == 20 else b"")
+            # The sampled suffix lies inside every window of its run.
+            assert raw.find(first, begin + int(ordered["count"][k]) - 1, begin + 50) >= 0
+        begins = [(h.tobytes()[::-1], m.tobytes()[::-1]) for h, m in zip(ordered["high"], ordered["middle"], strict=True)]
+        assert begins == sorted(begins)
+        back = suffix_index.unpacked(suffix_index.packed(ordered | {"sub": text}), len(high))
+        assert all(np.array_equal(back[k], ordered[k]) for k in ("high", "middle", "low", "body", "start", "count"))
+
+
+def test_a_stored_index_takes_batch_after_batch(spark, tmp_path):
+    """Each batch loses what stands in earlier ones; levels of equal size merge, the others stay as they are."""
+    rng = random.Random(71)
+    pool = ["".join(rng.choice("abc ") for _ in range(rng.randrange(40, 90))) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(pool) if rng.random() < 0.7 else "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(rng.randrange(6)))) for k in range(70)]
+    rows[3], rows[40] = (3, None), (40, rows[1][1])
+    want = {r[0]: r for r in brute_repeats(rows)}
+    index = suffix_index.Index(spark, f"file://{tmp_path}/index", deals=3)
+    shapes = []
+    for k in range(7):
+        got = index.add(spark.createDataFrame(rows[10 * k : 10 * k + 10], "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got)) == [want[d] for d, _ in rows[10 * k : 10 * k + 10]]
+        shapes.append([r["rank"] for r in index.versions()])
+    assert shapes == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
+    assert sum(w[2] > 0 for w in want.values()) > 20
+    with pytest.raises(ValueError, match="must be above"):
+        index.add(spark.createDataFrame([(69, "again")], "doc_id long, text string"))
+    nothing = spark.createDataFrame([], "doc_id long, text string")
+    assert index.add(nothing).count() == 0 and [r["rank"] for r in index.versions()] == [3]
+    assert index.add(spark.createDataFrame([(100, rows[1][1]), (None, rows[1][1])], "doc_id long, text string")).where("n_removed > 0").count() == (len(rows[1][1]) >= 50)

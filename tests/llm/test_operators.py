@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meshwright.llm import line_clean, minhash, secrets, shard, suffix_index, token_orc, unigram, url_trie, warc, wumanber
 from meshwright.llm.queries import QUERIES
-from tests_llm_brute import brute_components
+from tests_llm_brute import brute_components, brute_hits, brute_repeats, items_sha256
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -117,7 +117,7 @@ def test_repeats_of_bytes(spark, docs, odd):
     rows = [(3, "a" * 200), (1, "a" * 120), (2, None), (None, w), (5, w), (4, w[20:90] + "x" + w[100:260]), (4, w[20:90]), (7, w + w + "é" * 80), (9, "é" * 70), (-5, w[10:61])]
     for some in (rows, ODD, sorted(docs.items())):
         got = suffix_index.deduplicated(spark.createDataFrame(some, "doc_id long, text string")).collect()
-        assert sorted(map(tuple, got), key=str) == sorted(suffix_index.brute(some), key=str)
+        assert sorted(map(tuple, got), key=str) == sorted(brute_repeats(some), key=str)
     assert suffix_index.deduplicated(odd.limit(0)).count() == 0
 
 
@@ -130,7 +130,7 @@ def test_slices_of_long_texts_see_all_windows():
         parts = list(suffix_index.sliced(data, np.array([0, len(data)])))
     finally:
         suffix_index.SLICE = before
-    starts = [base + s for _, base, part, at in parts for s in suffix_index.runs(part, at, 50, None)[1].tolist()]
+    starts = [base + s for _, base, part, at in parts for s in suffix_index.runs(part, at, 50, None)[1]["start"].tolist()]
     assert sorted(starts) == list(range(len(data) - 49))
 
 
@@ -139,8 +139,8 @@ def test_levels_merge_geometrically():
     for k in range(6):
         keys = np.arange(10, dtype=np.uint64) + np.uint64(100 * k)
         n = np.full(10, 1, np.int32)
-        family.absorb({"key": keys, "body": keys, "doc": np.full(10, k, np.int64), "sub": n * 0, "start": n, "count": n})
-    assert [(rank, len(level["key"])) for rank, level in family.levels] == [(2, 40), (1, 20)]
+        family.absorb({"high": keys, "middle": keys, "low": keys, "body": keys, "doc": np.full(10, k, np.int64), "sub": n * 0, "start": n, "count": n})
+    assert [(rank, len(level["high"])) for rank, level in family.levels] == [(2, 40), (1, 20)]
 
 
 def library_model():
@@ -232,11 +232,11 @@ def test_decontamination(spark, odd):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [(None if i is None else str(i), t) for i, t in items]
-    want = {d: wumanber.brute(t, named) for d, t in enumerate(texts)}
+    want = {d: brute_hits(t, named) for d, t in enumerate(texts)}
     for groups in (10**6, 100):
         for r in wumanber.digest(wumanber.marked(df, bench, group_bytes=groups)).collect():
             n, hit, names = want[r.doc_id]
-            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), wumanber.items_sha256(names), hit > 0 and 20 * hit >= n)
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), items_sha256(names), hit > 0 and 20 * hit >= n)
     assert wumanber.clean(odd, bench).columns == odd.columns and wumanber.marked(odd, bench.limit(0)).where("_wm_contaminated").count() == 0
     matcher = wumanber.Matcher(named)
     raw = np.frombuffer((texts[-1] or "").encode(), np.uint8)

@@ -8,12 +8,10 @@ from collections import Counter
 
 import numpy as np
 
-from meshwright.llm import wumanber
-
 
 def test_stages(spark, sf):
     import corpus_pipeline as p
-    from tests_llm_brute import brute_components
+    from tests_llm_brute import brute_components, brute_hits
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -28,7 +26,7 @@ def test_stages(spark, sf):
             want = brute_components(list(before.items()), 5)
             assert set(after) == {d for d in before if want[d] == d}
         if name == "decontamination":
-            bad = {d for d, t in before.items() for n, hit, _ in [wumanber.brute(t, items)] if hit and 20 * hit >= n}
+            bad = {d for d, t in before.items() for n, hit, _ in [brute_hits(t, items)] if hit and 20 * hit >= n}
             assert bad and set(after) == set(before) - bad
         if name == "secret_scan":
             assert set(after) == set(before) and not any(re.search("[0-9a-f]{16}", r.text) for r in rows)
@@ -125,7 +123,7 @@ def brute_redacted(text):
 def test_rows_of_every_stage_against_brute_force(spark, sf):
     import corpus_pipeline as p
     from test_operators import library_model
-    from tests_llm_brute import brute_components
+    from tests_llm_brute import brute_components, brute_hits
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -157,7 +155,7 @@ def test_rows_of_every_stage_against_brute_force(spark, sf):
             least = brute_components([(r["doc_id"], r["text"]) for r in rows], 5)
             rows = [r for r in rows if least[r["doc_id"]] == r["doc_id"]]
         if name == "decontamination":
-            counts = [(r, wumanber.brute(r["text"], items)) for r in rows]
+            counts = [(r, brute_hits(r["text"], items)) for r in rows]
             rows = [r for r, (n, hit, _) in counts if not hit or 20 * hit < n]
         if name == "secret_scan":
             redacted = [(r, brute_redacted(r["text"])) for r in rows]
