@@ -12,7 +12,8 @@ Law: ``bytes`` (sizes near equal). Size: UTF-8 bytes of the text plus 8.
 
 A group larger than a shard's room fills one shard after the other, so any group's share of the
 rows is fine; hot groups are never gathered in a task, as counts combine before the shuffle and
-joins on the group treat its large values by broadcast of at most 2,000 rows.
+joins on the group treat its large values by broadcast of at most 2,000 rows. Nothing else is
+broadcast: which movers fit is told by one number for each shard.
 
 Cases: a null text has no bytes and is linked with nothing; empty texts are equal texts;
 repeated rows and null ids are rows like any other; an empty table gives no rows; columns but
@@ -35,7 +36,7 @@ GAINS, GROUP_SLICES, MEMBER_SLICES = 32, 16, 128
 ROOM_SHARE = 12
 #: Size classes of the last filling, as shares of the mean shard size.
 CLASSES = (64, 1024, 16384)
-ROWS_A_SLICE = 20_000
+ROWS_A_SLICE = 4_000
 
 
 def loads(df: DataFrame, shards: int) -> list[int]:
@@ -53,12 +54,14 @@ def slice_of(rank: Column) -> Column:
     return (rank * GROUP_SLICES + F.pmod(F.xxhash64("group"), F.lit(GROUP_SLICES))) * MEMBER_SLICES + F.pmod(F.xxhash64("doc_id", "group"), F.lit(MEMBER_SLICES))
 
 
-def within(rows: DataFrame, shard: str, room: list[int]) -> DataFrame:
-    """(shard, slice) of the slices of ``rows`` that fit into each shard's room, in their order.
-    At most shards * GAINS * GROUP_SLICES * MEMBER_SLICES rows, whatever the input."""
+def within(rows: DataFrame, shard: str, room: list[int]) -> Column:
+    """Whether a row's slice fits into its shard's room, slices being taken in their order. Sums only grow, so
+    one number for each shard tells it: the last slice that fits."""
     sums = rows.groupBy(shard, "slice").agg(F.sum("size").alias("b"))
     before = F.sum("b").over(W.partitionBy(shard).orderBy("slice"))
-    return sums.withColumn("upto", before).where(F.col("upto") <= number_at(room, F.col(shard))).select(shard, "slice", F.lit(True).alias("fits"))
+    fit = sums.withColumn("upto", before).where(F.col("upto") <= number_at(room, F.col(shard))).groupBy(shard).agg(F.max("slice"))
+    last = {int(s): int(x) for s, x in fit.collect()}
+    return F.coalesce(F.col("slice") <= number_at([last.get(s, -1) for s in range(len(room))], F.col(shard)), F.lit(False))
 
 
 def propagated(linked: DataFrame, scratch: Scratch, shards: int, mean: int, rounds: int) -> DataFrame:
@@ -79,9 +82,8 @@ def propagated(linked: DataFrame, scratch: Scratch, shards: int, mean: int, roun
         rank = F.lit(GAINS - 1) - F.least(F.floor(F.log2(F.greatest(gain, F.lit(1)).cast("double"))), F.lit(GAINS - 1))
         asked = asked.select(*linked.columns, F.when(wants, F.col("best.shard")).alias("to"), F.when(wants, slice_of(rank)).alias("slice"))
         asked = scratch.table(asked, f"asked{k}")
-        fits = within(asked.where("to IS NOT NULL"), "to", room)
-        moved = asked.join(F.broadcast(fits), ["to", "slice"], "left")
-        linked = scratch.table(moved.withColumn("shard", F.when(F.col("fits"), F.col("to")).otherwise(F.col("shard"))).select(*linked.columns, F.coalesce("fits", F.lit(False)).alias("moved")), f"linked{k}")
+        moved = asked.withColumn("moved", within(asked.where("to IS NOT NULL"), "to", room))
+        linked = scratch.table(moved.withColumn("shard", F.when(F.col("moved"), F.col("to")).otherwise(F.col("shard"))).select(*linked.columns, "moved"), f"linked{k}")
         n_moved = linked.where("moved").limit(1).count()
         linked = linked.drop("moved")
         now = loads(linked, shards)
@@ -129,10 +131,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         linked = propagated(scratch.table(linked, "linked"), scratch, shards, mean, rounds)
         small = F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(GAINS - 1))
         linked = linked.withColumn("slice", slice_of(F.lit(GAINS - 1) - small))
-        stay = within(linked, "shard", [mean] * shards)
-        linked = scratch.table(linked.join(F.broadcast(stay), ["shard", "slice"], "left").drop("slice", "n"), "stay")
+        linked = scratch.table(linked.withColumn("fits", within(linked, "shard", [mean] * shards)).drop("slice", "n"), "stay")
         kind = sum(((F.col("size") * c < mean).cast("int") for c in CLASSES), F.lit(0))
-        pool = single.unionByName(linked.where(F.col("fits").isNull()).select("doc_id", "size", "crc", "group")).withColumn("class", kind)
+        pool = single.unionByName(linked.where(~F.col("fits")).select("doc_id", "size", "crc", "group")).withColumn("class", kind)
         slices = max(1, int(n) // ROWS_A_SLICE)
         slice_ = F.pmod(F.xxhash64("doc_id", "crc"), F.lit(slices))
         pool = scratch.table(bounded_prefix(pool, ["class"], ["doc_id", "crc"], F.col("size"), "before", slices, slice_), "pool")
