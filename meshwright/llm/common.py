@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The allocator hands every block above its limit back to the system at once, to be cleared and mapped again for
+#: the next array. Freeing one block of nearly 32 MB raises that limit for the life of this process.
+np.empty(31 << 20, np.uint8)
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,7 +72,8 @@ class Scratch:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A small final result, kept as a reliable checkpoint that Spark's cleaner removes."""
+    """A final result of a few numbers for each document, kept as a reliable checkpoint: it stays in the shared folder,
+    unless spark.cleaner.referenceTracking.cleanCheckpoints is set, which lets Spark's cleaner remove it."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -197,11 +202,14 @@ def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) ->
     their class, so slices of one class are equal whatever the hash."""
     keys = mixed(Prefixes(data, seed).of(starts, ends)) ^ (ends - starts).astype(np.uint64)
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    if not len(starts):
+        return first, which
     sizes = ends - starts
-    source = np.repeat(starts[first][which] - starts, sizes)
-    source += np.arange(starts[0], ends[-1]) if len(starts) else 0
-    differ = data[np.minimum(source, len(data) - 1)] != data[starts[0] : ends[-1]] if len(starts) else np.zeros(0, bool)
-    odd = np.flatnonzero((sizes[first][which] != sizes) | np.logical_or.reduceat(differ, starts - starts[0])) if len(starts) else np.zeros(0, np.int64)
+    kind = np.int32 if 2 * len(data) < 2**31 else np.int64
+    source = np.repeat((starts[first][which] - starts).astype(kind), sizes)
+    source += np.arange(starts[0], ends[-1], dtype=kind)
+    differ = data.take(source, mode="clip") != data[starts[0] : ends[-1]]
+    odd = np.flatnonzero((sizes[first][which] != sizes) | np.logical_or.reduceat(differ, starts - starts[0]))
     if len(odd):
         own: dict[bytes, int] = {}
         first = first.tolist()
@@ -215,6 +223,22 @@ def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) ->
     return first, which
 
 
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, without a copy; the buffer needs 8 bytes at least."""
+    return np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hashes of all grams of ``gram`` >= 8 bytes, eight bytes at a time; the last eight may overlap those before."""
+    n, words = len(data) - gram + 1, byte_words(data)
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for at in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        h ^= h >> np.uint64(32)
+        h += words[at : at + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return mixed(h)
+
+
 def word_edges(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes inside each text, and of each text the first word's number (n + 1 values)."""
     n = len(is_word)

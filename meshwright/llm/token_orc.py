@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from meshwright.llm.common import Scratch, alike, bounded_prefix, by_size, bytes_of, settled, text_frame
 
 END_ID = 2
-PIECE = 2_000_000
+PIECE = 1_000_000
 MOST_KNOWN = 800_000
 #: Text bytes for each file at most, on average, once there are more than the session's shuffle partitions hold.
 FILE_BYTES = 256_000_000

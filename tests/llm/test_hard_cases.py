@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.llm import common, line_clean, minhash, secrets, suffix_index, token_orc, unigram, url_trie, warc
+from meshwright.llm import common, line_clean, minhash, secrets, shard, suffix_index, token_orc, unigram, url_trie, warc
 from tests_llm_brute import brute_repeats
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -249,7 +250,7 @@ def test_arrays_are_in_alphabetical_order():
         assert high == sorted(high) and len(high)
         for k in range(len(high)):
             begin = int(ordered["start"][k])
-            first = ordered["high"][k].tobytes()[::-1] + ordered["middle"][k].tobytes()[::-1] + (ordered["low"][k].tobytes()[::-1][:4] if gram == 20 else b"")
+            first = ordered["high"][k].tobytes()[::-1] + ordered["middle"][k].tobytes()[::-1] + (ordered["low"][k].tobytes()[::-1][4:] if gram == 20 else b"")
             # The sampled suffix lies inside every window of its run.
             assert raw.find(first, begin + int(ordered["count"][k]) - 1, begin + 50) >= 0
         begins = [(h.tobytes()[::-1], m.tobytes()[::-1]) for h, m in zip(ordered["high"], ordered["middle"], strict=True)]
@@ -278,3 +279,30 @@ def test_a_stored_index_takes_batch_after_batch(spark, tmp_path):
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert index.add(nothing).count() == 0 and [r["rank"] for r in index.versions()] == [3]
     assert index.add(spark.createDataFrame([(100, rows[1][1]), (None, rows[1][1])], "doc_id long, text string")).where("n_removed > 0").count() == (len(rows[1][1]) >= 50)
+
+
+def test_groups_stay_together_where_the_quotas_allow_it(spark):
+    """Groups far smaller than a shard: all links could be kept, and nearly all are; loads differ by two texts at most."""
+    rng = random.Random(81)
+    texts = [t for k in range(400) for t in [f"{k:04d}" * rng.randrange(5, 25)] * rng.randrange(1, 5)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.shard, r.size) for r in shard.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=6).collect()}
+    places, loads = {}, [0] * 6
+    for d, t in enumerate(texts):
+        places.setdefault(t, []).append(got[d][0])
+        loads[got[d][0]] += got[d][1]
+    links = sum(len(p) * (len(p) - 1) // 2 for p in places.values())
+    cut = sum(a != b for p in places.values() for a, b in itertools.combinations(p, 2))
+    assert cut <= links / 50 and max(loads) - min(loads) <= 2 * max(size for _, size in got.values())
+
+
+def test_a_hot_group_fills_shard_after_shard(spark):
+    """A group of a third of all bytes is cut into as few pieces as its size allows, and loads stay even."""
+    texts = ["h" * 100] * 800 + [f"{k:05d}" * 20 for k in range(1600)]
+    out = shard.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    loads, hot = {}, set()
+    for r in out:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+        if r.doc_id < 800:
+            hot.add(r.shard)
+    assert len(loads) == 24 and max(loads.values()) - min(loads.values()) <= 2 * 108 and len(hot) <= 9
