@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators.graph import Cut, checkpointed
+from meshwright.plans.lineage import Cut, checkpointed
 
 
 def status(phi: Column | str) -> Column:

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Cut = Callable[[DataFrame, str], DataFrame]
-
-
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
-    return df.checkpoint(eager=True)
+from meshwright.operators.ranks import ranked
+from meshwright.operators.ranks import strips as ranked_strips
+from meshwright.plans.lineage import Cut, checkpointed
 
 
 def connected_components(edges: DataFrame, cut: Cut = checkpointed, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -47,13 +42,16 @@ def dual_mesh(cells: DataFrame) -> DataFrame:
 def dual_graph(incidence: DataFrame, least: int, include_self: bool = False) -> DataFrame:
     """(cell, neighbour, shared): cells that share at least ``least`` vertices.
 
-    A vertex with very many cells makes as many pairs as a cell graph needs; meshes have few
-    cells around a vertex, and for other tables ``least`` is counted after a partial sum.
+    Each pair is made once, by the smaller cell, and mirrored after the count. A vertex with c cells makes
+    c*(c-1)/2 pairs, as many as a cell graph needs for ``least`` = 1; joins that such a vertex
+    skews are split by adaptive execution, and counts combine before their shuffle.
     """
     other = incidence.select("vertex", F.col("cell_id").alias("neighbour"))
-    pairs = incidence.join(other, "vertex")
-    pairs = pairs if include_self else pairs.where("cell_id != neighbour")
-    return pairs.groupBy("cell_id", "neighbour").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    pairs = incidence.join(other, "vertex").where("cell_id <= neighbour" if include_self else "cell_id < neighbour")
+    counted = pairs.groupBy("cell_id", "neighbour").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    sides = F.array(F.struct("cell_id", "neighbour"), F.struct(F.col("neighbour").alias("cell_id"), F.col("cell_id").alias("neighbour")))
+    one = F.when(F.col("cell_id") == F.col("neighbour"), F.slice(sides, 1, 1)).otherwise(sides)
+    return counted.select(F.explode(one).alias("p"), "shared").select("p.cell_id", "p.neighbour", "shared")
 
 
 def quotient_graph(graph: DataFrame, parts: DataFrame, include_self: bool = False) -> DataFrame:
@@ -73,12 +71,10 @@ def interface(incidence: DataFrame, parts: DataFrame) -> DataFrame:
     return parts_around(incidence, parts).where(F.size("parts") > 1)
 
 
-def interface_objects(incidence: DataFrame, parts: DataFrame) -> DataFrame:
+def interface_objects(incidence: DataFrame, parts: DataFrame, cut: Cut = checkpointed) -> DataFrame:
     """(parts, vertices, object_id): interface vertices with equal part lists, numbered in the order of the lists."""
-    from pyspark.sql import Window as W
-
     objects = interface(incidence, parts).groupBy("parts").agg(F.count("*").alias("vertices"))
-    return objects.withColumn("object_id", F.row_number().over(W.orderBy("parts")))
+    return ranked(objects, [F.col("parts")], "object_id", cut)
 
 
 def boundary_facets(facets: DataFrame) -> DataFrame:
@@ -86,11 +82,9 @@ def boundary_facets(facets: DataFrame) -> DataFrame:
     return facets.groupBy("facet").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).where("n = 1").select("facet", "cell_id")
 
 
-def strips(ids: DataFrame, key: str, parts: int) -> DataFrame:
+def strips(ids: DataFrame, key: str, parts: int, cut: Cut = checkpointed) -> DataFrame:
     """Contiguous strips of nearly equal size in the order of ``key``; part ids from 1."""
-    from pyspark.sql import Window as W
-
-    return ids.select(key, F.ntile(parts).over(W.orderBy(key)).alias("part"))
+    return ranked_strips(ids.select(key), [F.col(key)], parts, "part", cut)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -138,15 +132,14 @@ def reverse_cuthill_mckee(edges: DataFrame, root: int | None = None, cut: Cut =
 
     The classic order visits neighbours of each vertex in turn; within a level this one orders by
     degree, which gives the same bandwidth bound, the width of two levels."""
-    from pyspark.sql import Window as W
-
     both = cut(both_ways(edges.where("src IS NOT NULL AND dst IS NOT NULL")), "edges")
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     if root is None:
-        ranked, first = levels_of_components(both, degree, cut).join(degree, "id"), ["component"]
+        placed, first = levels_of_components(both, degree, cut).join(degree, "id"), ["component"]
     else:
-        ranked, first = bfs_levels(edges, root, cut).join(degree, "id", "left"), []
-    return ranked.select("id", F.row_number().over(W.orderBy(*first, F.desc("level"), F.desc("degree"), F.desc("id"))).alias("rank"))
+        placed, first = bfs_levels(edges, root, cut).join(degree, "id", "left"), []
+    order = [*map(F.col, first), F.desc("level"), F.desc("degree"), F.desc("id")]
+    return ranked(placed, order, "rank", cut).select("id", F.col("rank").cast("int").alias("rank"))
 
 
 def colouring(edges: DataFrame, cut: Cut = checkpointed) -> DataFrame:

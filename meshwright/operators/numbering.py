@@ -6,45 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshwright.operators.ranks import prefix_sums, ranked_in, small
+from meshwright.plans.lineage import Cut, checkpointed
 
-def offsets(lengths: DataFrame, key: str, length: str) -> DataFrame:
-    """(key, start): the 1-based exclusive prefix sum of the lengths in the order of ``key``.
 
-    Two levels: sums inside ranges of the key, then over the ranges' totals, so no task sorts all rows."""
-    ranged = lengths.select(key, F.col(length).alias("_n"))
-    spark = lengths.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ranged.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.01) if buckets > 1 else []
-    bucket = sum(((F.col(key) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    marked = ranged.withColumn("_b", bucket)
-    totals = marked.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    before = totals.select("_b", (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_o"))
-    inner = F.sum("_n").over(W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
-    return marked.withColumn("_s", inner).join(F.broadcast(before), "_b").select(key, (F.col("_s") + F.col("_o") + 1).alias("start"))
+def offsets(lengths: DataFrame, key: str, length: str, cut: Cut = checkpointed) -> DataFrame:
+    """(key, start): the 1-based exclusive prefix sum of the lengths in the order of ``key``."""
+    return prefix_sums(lengths.select(key, length), [F.col(key)], length, "_s", cut).select(key, (F.col("_s") + 1).alias("start"))
 
 
-def local_to_global(owned: DataFrame, part: str, gid: str) -> DataFrame:
+def local_to_global(owned: DataFrame, part: str, gid: str, cut: Cut = checkpointed) -> DataFrame:
     """(part, lid, gid): local ids from 1 in ascending global order."""
-    return owned.select(part, F.row_number().over(W.partitionBy(part).orderBy(gid)).alias("lid"), gid)
+    return ranked_in(owned.select(part, gid), part, [F.col(gid)], "lid", cut).select(part, "lid", gid)
 
 
-def first_touch(cells: DataFrame) -> DataFrame:
+def first_touch(cells: DataFrame, cut: Cut = checkpointed) -> DataFrame:
     """(part, vertex, lid): vertices numbered in the order in which cells (part, cell_id, nodes) first name them."""
     touched = cells.select("part", "cell_id", F.posexplode("nodes").alias("pos", "vertex"))
     first = touched.groupBy("part", "vertex").agg(F.min(F.struct("cell_id", "pos")).alias("at"))
-    return first.select("part", "vertex", F.row_number().over(W.partitionBy("part").orderBy("at", "vertex")).alias("lid"))
+    return ranked_in(first, "part", [F.col("at"), F.col("vertex")], "lid", cut).select("part", "vertex", "lid")
 
 
-def interior_first(dofs: DataFrame, part: str, dof: str, on_interface: str) -> DataFrame:
+def interior_first(dofs: DataFrame, part: str, dof: str, on_interface: str, cut: Cut = checkpointed) -> DataFrame:
     """(part, dof, new_id): interior dofs first, then those of the interface, each ascending."""
-    return dofs.select(part, dof, F.row_number().over(W.partitionBy(part).orderBy(F.col(on_interface).cast("int"), dof)).alias("new_id"))
+    rows = dofs.select(part, dof, F.col(on_interface).cast("int").alias("_edge"))
+    return ranked_in(rows, part, [F.col("_edge"), F.col(dof)], "new_id", cut).select(part, dof, "new_id")
 
 
 def global_ids(local: DataFrame, part: str, lid: str) -> DataFrame:
     """(part, lid, gid): local ids plus the number of ids in smaller parts."""
     counts = local.groupBy(part).agg(F.count("*").alias("_n"))
     before = counts.select(part, (F.sum("_n").over(W.orderBy(part)) - F.col("_n")).alias("_o"))
-    return local.join(F.broadcast(before), part).select(part, lid, (F.col(lid) + F.col("_o")).alias("gid"))
+    return local.join(small(before), part).select(part, lid, (F.col(lid) + F.col("_o")).alias("gid"))
 
 
 def dof_counts(dofs: DataFrame) -> DataFrame:

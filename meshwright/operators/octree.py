@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators.graph import Cut, checkpointed
+from meshwright.operators.ranks import prefix_sums
+from meshwright.plans.lineage import Cut, checkpointed
 
 AXES = "ijk"
 
@@ -59,37 +60,60 @@ def neighbours(cells: DataFrame, corners: bool = True) -> DataFrame:
     return out.where(inside)
 
 
-def balance(cells: DataFrame, cut: Cut = checkpointed, rounds: int = 30) -> DataFrame:
-    """2:1 balance: leaves two or more levels above a neighbour are refined until there are none."""
+def parents(cells: DataFrame) -> DataFrame:
     axes = axes_of(cells)
-    cells = cut(cells.select("level", *axes), "balance0")
-    for k in range(1, rounds):
-        deep = int(cells.agg(F.max("level")).first()[0] or 0)
-        # A leaf of level l asks for the ancestors, two or more levels up, of the cells around it.
-        ask = neighbours(cells)
-        ups = [F.struct(F.lit(up).alias("level"), *(F.floor(F.col(f"n{a}") / F.pow(F.lit(2.0), F.col("level") - up)).cast("long").alias(a) for a in axes)) for up in range(max(0, deep - 1))]
-        if not ups:
-            return cells
-        wanted = ask.select("level", F.explode(F.filter(F.array(*ups), lambda s: s["level"] <= F.col("level") - 2)).alias("u")).select("u.level", *(f"u.{a}" for a in axes)).distinct()
-        marked = cells.join(wanted.withColumn("flag", F.lit(1)), ["level", *axes], "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
-        marked = cut(marked, f"marked{k}")
-        if marked.where("flag = 1").isEmpty():
-            return cells
-        cells = cut(refine(marked), f"balance{k}")
-    return cells
-
-
-def partition(cells: DataFrame, parts: int, weight: str | None = None) -> DataFrame:
-    """Leaves with a part from 1: equal shares of the weight along the curve, in two levels of sums."""
-    from pyspark.sql import Window as W
-
-    w = F.col(weight) if weight else F.lit(1.0)
-    rows = cells.withColumns({"_m": morton(cells), "_w": w.cast("double")})
-    cuts = sorted(set(rows.approxQuantile("_m", [k / 16 for k in range(1, 16)], 0.01)))
-    rows = rows.withColumn("_b", sum(((F.col("_m") > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
-    totals = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    before = totals.select("_b", (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_o"), F.sum("_t").over(W.partitionBy(F.lit(0))).alias("_all"))
-    here = F.sum("_w").over(W.partitionBy("_b").orderBy("_m", "level").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_w") / 2
-    placed = rows.withColumn("_s", here).join(F.broadcast(before), "_b")
-    part = F.least(F.floor((F.col("_s") + F.col("_o")) * parts / F.col("_all")).cast("int"), F.lit(parts - 1)) + 1
-    return placed.select(*cells.columns, part.alias("part"))
+    return cells.where("level > 0").select((F.col("level") - 1).alias("level"), *(F.floor(F.col(a) / 2).cast("long").alias(a) for a in axes)).distinct()
+
+
+def balance(cells: DataFrame, cut: Cut = checkpointed, corners: bool = True) -> DataFrame:
+    """2:1 balance: the least refinement in which no leaf is two or more levels above a neighbour.
+
+    A cell with children asks that the cells of its size around it exist, so their parents have
+    children too. That is settled level by level, from the deepest one up: one pass for each level."""
+    axes = axes_of(cells)
+    leaves = cut(cells.select("level", *axes), "leaves")
+    deep = int(leaves.agg(F.max("level")).first()[0] or 0)
+    # Cells with children by level; leaves of a level and split cells of it ask for split parents.
+    split: list[DataFrame | None] = [None] * (deep + 1)
+    for level in range(deep, 0, -1):
+        here = leaves.where(F.col("level") == level)
+        asked = parents(here)
+        if split[level] is not None:
+            asked = asked.unionByName(parents(split[level])).unionByName(parents(neighbours(split[level], corners).select("level", *(F.col(f"n{a}").alias(a) for a in axes))))
+        split[level - 1] = cut(asked.distinct(), f"split{level - 1}")
+    kids = [F.struct((F.col("level") + 1).alias("level"), *((F.col(a) * 2 + o).alias(a) for a, o in zip(axes, off, strict=True))) for off in itertools.product((0, 1), repeat=len(axes))]
+    out = leaves.where("level = 0") if deep == 0 else None
+    for level in range(deep):
+        children = split[level].select(F.explode(F.array(*kids)).alias("c")).select("c.level", *(f"c.{a}" for a in axes))
+        own = children if split[level + 1] is None else children.join(split[level + 1], ["level", *axes], "left_anti")
+        out = own if out is None else out.unionByName(own)
+    return cut(out.select("level", *axes), "balanced")
+
+
+def from_points(points: DataFrame, most: int, deepest: int, cut: Cut = checkpointed) -> DataFrame:
+    """Leaves of the tree over points (x, y[, z] in [0, 1)) in which a cell of more than ``most`` points has children, down to level ``deepest``."""
+    axes = [a for a, c in zip(AXES, "xyz", strict=True) if c in points.columns]
+    at = cut(points.select(*(F.least(F.floor(F.col(c) * 2**deepest), F.lit(2**deepest - 1)).cast("long").alias(a) for a, c in zip(axes, "xyz", strict=False))).groupBy(*axes).agg(F.count("*").alias("n")), "points")
+    # Counts of every level, from the deepest one up; each is at most as large as the one below.
+    counts, out = [at.withColumn("level", F.lit(deepest))], None
+    for level in range(deepest - 1, -1, -1):
+        counts.append(cut(counts[-1].groupBy(*(F.floor(F.col(a) / 2).cast("long").alias(a) for a in axes)).agg(F.sum("n").alias("n")).withColumn("level", F.lit(level)), f"count{level}"))
+    kids = [F.struct((F.col("level") + 1).alias("level"), *((F.col(a) * 2 + o).alias(a) for a, o in zip(axes, off, strict=True))) for off in itertools.product((0, 1), repeat=len(axes))]
+    split = {c: counts[deepest - c].where(F.col("n") > most) for c in range(deepest)}
+    root = points.sparkSession.range(1).select(F.lit(0).alias("level"), *(F.lit(0).cast("long").alias(a) for a in axes))
+    if deepest == 0 or split[0].isEmpty():
+        return root
+    for level in range(deepest):
+        children = split[level].select(F.explode(F.array(*kids)).alias("c")).select("c.level", *(f"c.{a}" for a in axes))
+        own = children if level + 1 >= deepest else children.join(split[level + 1].select("level", *axes), ["level", *axes], "left_anti")
+        out = own if out is None else out.unionByName(own)
+    return cut(out.select("level", *axes), "tree")
+
+
+def partition(cells: DataFrame, parts: int, weight: str | None = None, cut: Cut = checkpointed) -> DataFrame:
+    """Leaves with a part from 1: equal shares of the weight along the curve."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = cut(prefix_sums(cells.withColumns({"_m": morton(cells), "_w": w}), [F.col("_m"), F.col("level")], "_w", "_s", cut), "curve")
+    total = rows.agg(F.sum("_w")).first()[0] or 1.0
+    part = F.least(F.floor((F.col("_s") + F.col("_w") / 2) * parts / total).cast("int"), F.lit(parts - 1)) + 1
+    return rows.select(*cells.columns, part.alias("part"))

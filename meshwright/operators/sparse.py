@@ -32,8 +32,8 @@ def compress(entries: DataFrame) -> DataFrame:
 
 
 def compress_last(entries: DataFrame, seq: str = "seq") -> DataFrame:
-    """Of duplicates the one with the greatest ``seq`` stays."""
-    return entries.groupBy("ia", "ja").agg(F.max_by("val", seq).alias("val"))
+    """Of duplicates the one with the greatest ``seq`` stays; of equal ones that with the greatest value."""
+    return entries.groupBy("ia", "ja").agg(F.max(F.struct(seq, "val"))["val"].alias("val"))
 
 
 def pattern(entries: DataFrame) -> DataFrame:
@@ -107,11 +107,26 @@ def spmv(matrix: DataFrame, x: DataFrame, transposed: bool = False, symmetric: b
     return m.join(v, col).groupBy(F.col(row).alias("idx")).agg(F.sum(F.col("val") * F.col("x")).alias("val"))
 
 
+#: Members of a multi-vector that are multiplied in one pass.
+WIDTH = 64
+
+
 def spmm(matrix: DataFrame, x: DataFrame, transposed: bool = False) -> DataFrame:
-    """(k, idx, val) of A times a multi-vector (k, idx, val)."""
+    """(k, idx, val) of A times a multi-vector (k, idx, val), k from 0.
+
+    The matrix is summed first, and each idx has its WIDTH members side by side in one row, so a
+    product is one join and one aggregation over the matrix's entries, not over entries times members."""
     row, col = ("ja", "ia") if transposed else ("ia", "ja")
-    v = x.select("k", F.col("idx").alias(col), F.col("val").alias("x"))
-    return matrix.join(v, col).groupBy("k", F.col(row).alias("idx")).agg(F.sum(F.col("val") * F.col("x")).alias("val"))
+    a, top, out = compress(matrix), x.agg(F.max("k")).first()[0], None
+    for low in range(0, 1 if top is None else int(top) + 1, WIDTH):
+        names = [f"m{j}" for j in range(min(WIDTH, int(top or 0) + 1 - low))]
+        own = x.where(F.col("k").between(low, low + WIDTH - 1)).withColumn("_j", F.col("k") - low)
+        wide = own.groupBy(F.col("idx").alias(col)).agg(*(F.sum(F.when(F.col("_j") == j, F.col("val"))).alias(n) for j, n in enumerate(names)))
+        sums = a.join(wide, col).groupBy(F.col(row).alias("idx")).agg(*(F.sum(F.col("val") * F.col(n)).alias(n) for n in names))
+        members = F.array(*(F.struct(F.lit(low + j).cast(x.schema["k"].dataType).alias("k"), F.col(n).alias("val")) for j, n in enumerate(names)))
+        part = sums.select("idx", F.explode(F.filter(members, lambda m: m["val"].isNotNull())).alias("m")).select("m.k", "idx", "m.val")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def gemm(matrix: DataFrame, x: DataFrame, y: DataFrame, alpha: float, beta: float, transposed: bool = False) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Cut = Callable[[DataFrame, str], DataFrame]
+
 
 class Tables:
     """``cut`` writes a reliable checkpoint into ``spark.checkpoint.dir``; only where that is unset and Spark
@@ -23,3 +26,8 @@ class Tables:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         return df.checkpoint(eager=True)
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    return Tables(df.sparkSession).cut(df, name)

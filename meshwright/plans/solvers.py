@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators.graph import Cut, checkpointed
+from meshwright.plans.lineage import Cut, checkpointed
 from meshwright.operators.sparse import spmv
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators.graph import Cut, checkpointed
+from meshwright.plans.lineage import Cut, checkpointed
 from meshwright.operators.sparse import add, spmv
 from meshwright.operators.vector import axpby
 from meshwright.plans.solvers import conjugate_gradients, solution

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions import fields, levelsets
-from meshwright.operators import constraints, cut, graph, norms, numbering, sparse, vector
+from meshwright.operators import constraints, cut, graph, norms, numbering, octree, ranks, sparse, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,7 +77,7 @@ def coo_compress_sum(spark, d):
     return sparse.compress(matrix(spark, d))
 
 
-@query("SELECT l_partkey AS ia, l_suppkey AS ja, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS val FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_partkey AS ia, l_suppkey AS ja, max({'s': l_orderkey * 10 + l_linenumber, 'v': l_quantity}).v AS val FROM lineitem GROUP BY 1, 2")
 def coo_compress_last(spark, d):
     t = table(spark, d, "lineitem")
     return sparse.compress_last(t.select(F.col("l_partkey").alias("ia"), F.col("l_suppkey").alias("ja"), F.col("l_quantity").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
@@ -155,9 +155,7 @@ def transpose(spark, d):
 
 @query(f"WITH p AS (SELECT idx AS old, row_number() OVER (ORDER BY val DESC, idx) AS new FROM {P}) SELECT a.new AS ia, b.new AS ja, sum(m.val) AS val FROM {M} m JOIN p a ON a.old = m.ia JOIN p b ON b.old = m.ja GROUP BY 1, 2")
 def permute_matrix(spark, d):
-    from pyspark.sql import Window as W
-
-    perm = prices(spark, d).select(F.col("idx").alias("old"), F.row_number().over(W.orderBy(F.desc("val"), "idx")).cast("long").alias("new"))
+    perm = ranks.ranked(prices(spark, d), [F.desc("val"), F.col("idx")], "new").select(F.col("idx").alias("old"), "new")
     return sparse.compress(sparse.permute(matrix(spark, d), perm))
 
 
@@ -368,23 +366,48 @@ def tensor_algebra(spark, d):
     return rounded(out, "inner_product", "cross_x", "length", digits=8)
 
 
-@query()
+@query("WITH RECURSIVE t(id, place) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT id, place - p_size FROM t JOIN part ON p_partkey = place WHERE place > p_size) SELECT id, min(place) AS component FROM t GROUP BY 1")
+def chains_of_components(spark, d):
+    """Each part is linked with the part whose number is less by its size: chains of many links."""
+    from meshwright.plans.lineage import Tables
+
+    p = table(spark, d, "part").where("p_size > 0")
+    e = p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_partkey") > F.col("p_size"), F.col("p_partkey") - F.col("p_size")).otherwise(F.col("p_partkey")).alias("dst"))
+    return graph.connected_components(e, Tables(spark).cut)
+
+
+@query("SELECT i + 9 * j + 1 AS idx, round(1 + 2 * i / 8.0::double - 3 * j / 8.0::double, 8) + 0.0 AS val FROM range(9) a(i), range(9) b(j)")
 def poisson_q1(spark, d):
-    """Poisson on an 8x8 grid with a linear solution: (idx, val) of all unknowns."""
+    """Poisson on an 8x8 grid with a linear solution, which linear elements have exactly: (idx, val) of all unknowns."""
     from meshwright.plans.poisson import solve_square
 
-    return solve_square(spark, 8)
+    return rounded(solve_square(spark, 8), "val", digits=8)
 
 
-@query()
-def octree_balance(spark, d):
-    """Refine one corner four times and balance."""
-    from meshwright.operators import octree
-    from meshwright.plans.lineage import Tables
+TREE_POINTS = "(SELECT p_partkey % 97 / 97.0::double * 0.5 AS x, p_size % 41 / 41.0::double * 0.9 AS y FROM part)"
+
+
+def tree_points(spark, d):
+    return table(spark, d, "part").select((F.col("p_partkey") % 97 / F.lit(97.0) * 0.5).alias("x"), (F.col("p_size") % 41 / F.lit(41.0) * 0.9).alias("y"))
+
 
-    cut_ = Tables(spark).cut
-    cells = spark.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    for k in range(5):
-        at = 2 ** max(0, k - 1) - 1 if k else 0
-        cells = octree.refine(cells.withColumn("flag", F.when((F.col("level") == k) & (F.col("i") == at) & (F.col("j") == at), 1).otherwise(0)))
-    return octree.partition(octree.balance(cells, cut_), 3)
+def tree_sql(deepest: int, most: int) -> str:
+    """Split cells of the tree over the points, and their closure under the balance rule."""
+    return f"""WITH RECURSIVE p AS (SELECT floor(x * {2**deepest})::bigint AS i, floor(y * {2**deepest})::bigint AS j FROM {TREE_POINTS}),
+c AS (SELECT level, i >> ({deepest} - level) AS i, j >> ({deepest} - level) AS j, count(*) AS n FROM p, range({deepest}) l(level) GROUP BY 1, 2, 3),
+s(level, i, j) AS (
+  SELECT level, i, j FROM c WHERE n > {most}
+  UNION SELECT level - 1, (i + di) >> 1, (j + dj) >> 1 FROM s, range(-1, 2) a(di), range(-1, 2) b(dj)
+  WHERE level > 0 AND i + di BETWEEN 0 AND (1 << level) - 1 AND j + dj BETWEEN 0 AND (1 << level) - 1
+), kids AS (SELECT level + 1 AS level, 2 * i + di AS i, 2 * j + dj AS j FROM s, range(2) a(di), range(2) b(dj)),
+leaf AS (SELECT * FROM kids WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.level = kids.level AND s.i = kids.i AND s.j = kids.j)),
+m AS (SELECT *, (SELECT sum((((i << ({deepest} - level)) >> b) & 1) * (1::bigint << (2 * b)) + (((j << ({deepest} - level)) >> b) & 1) * (1::bigint << (2 * b + 1))) FROM range({deepest + 1}) r(b)) AS z FROM leaf),
+r AS (SELECT *, row_number() OVER (ORDER BY z, level) AS k, count(*) OVER () AS n FROM m)
+SELECT level::int AS level, i, j, (least(floor((k - 0.5) * 5 / n), 4) + 1)::int AS part FROM r"""
+
+
+@query(tree_sql(6, 3))
+def octree_balance(spark, d):
+    """The quadtree over the points of ``part``, balanced 2:1 over sides and corners, in five parts along the curve."""
+    tree = octree.from_points(tree_points(spark, d), 3, 6)
+    return octree.partition(octree.balance(tree), 5)

@@ -99,10 +99,23 @@ def write_matrix_market(path: str, matrix: DataFrame, rows: int, cols: int, symm
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(ia, ja, val); the size line is the one with three integers."""
-    f = spark.read.text(path).where(~F.col("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("f"))
-    entries = f.where(F.get("f", 2).rlike("[.eE]")).select(F.get("f", 0).cast("long").alias("ia"), F.get("f", 1).cast("long").alias("ja"), F.get("f", 2).cast("double").alias("val"))
-    return entries
+    """(ia, ja, val) of a coordinate file: the first line that is no comment has the sizes; pattern entries
+    are 1, and ``symmetric`` or ``skew-symmetric`` files give both triangles. In a file set the header is in one of its files."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line")).where("line != ''")
+    head = lines.where(F.lower("line").startswith("%%matrixmarket")).orderBy("file", "n").first()
+    words = head["line"].lower().split() if head else ["", "matrix", "coordinate", "real", "general"]
+    body = lines.where(~F.col("line").startswith("%"))
+    # Lines of one file keep their order; the sizes follow the header, or open a file set that has none.
+    first = (body.where(F.col("file") == head["file"]).where(F.col("n") > head["n"]) if head else body).orderBy("file", "n").first()
+    if first is None:
+        return spark.createDataFrame([], "ia long, ja long, val double")
+    f = body.where((F.col("file") != first["file"]) | (F.col("n") != first["n"])).select(F.split("line", r"\s+").alias("f"))
+    value = F.lit(1.0) if words[3] == "pattern" else F.get("f", 2).cast("double")
+    out = f.select(F.get("f", 0).cast("long").alias("ia"), F.get("f", 1).cast("long").alias("ja"), value.alias("val"))
+    if words[4] not in ("symmetric", "skew-symmetric", "hermitian"):
+        return out
+    other = out.where("ia != ja").select(F.col("ja").alias("ia"), F.col("ia").alias("ja"), (-F.col("val") if words[4] == "skew-symmetric" else F.col("val")).alias("val"))
+    return out.unionByName(other)
 
 
 def vtu_lines(vertices: DataFrame, cells: DataFrame, point_data: str | None = None, cell_data: str | None = None) -> str:

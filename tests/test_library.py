@@ -151,6 +151,29 @@ def test_matrix_market_round_trip(spark, tmp_path):
     assert sorted(meshfile.read_matrix_market(spark, str(tmp_path / "m")).collect()) == sorted(m.collect())
 
 
+def test_matrix_market_keeps_integers_and_mirrors_symmetric_files(spark, tmp_path):
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n% a comment\n\n3 3 3\n1 1 4\n2 1 0.5\n3 3 -2\n")
+    assert sorted(meshfile.read_matrix_market(spark, str(tmp_path / "s.mtx")).collect()) == [(1, 1, 4.0), (1, 2, 0.5), (2, 1, 0.5), (3, 3, -2.0)]
+    (tmp_path / "i.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n2 2 2\n1 1 4\n2 1 7\n")
+    assert sorted(meshfile.read_matrix_market(spark, str(tmp_path / "i.mtx")).collect()) == [(1, 1, 4.0), (2, 1, 7.0)]
+    (tmp_path / "p.mtx").write_text("%%MatrixMarket matrix coordinate pattern skew-symmetric\n2 2 1\n2 1\n")
+    assert sorted(meshfile.read_matrix_market(spark, str(tmp_path / "p.mtx")).collect()) == [(1, 2, -1.0), (2, 1, 1.0)]
+
+
+def test_ranks_and_prefix_sums(spark):
+    from meshwright.operators import ranks
+
+    rows = [(k % 3 if k % 7 else None, (k * 37) % 101, k) for k in range(100)]
+    df = spark.createDataFrame(rows, "g int, v int, k int")
+    order = [F.col("v"), F.col("k")]
+    want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: r[1:]), 1)}
+    assert {r.k: r.r for r in ranks.ranked(df, order, "r").collect()} == want
+    got = {r.k: r.r for r in ranks.ranked_in(df, "g", order, "r").collect()}
+    assert got == {k: 1 + sum(h == g and (x, j) < (v, k) for h, x, j in rows) for g, v, k in rows}
+    assert {r.k: r.s for r in ranks.prefix_sums(df, order, "v", "s").collect()} == {k: sum(x for _, x, j in rows if (x, j) < (v, k)) for _, v, k in rows}
+    assert ranks.ranked(df.limit(0), order, "r").count() == 0 and ranks.strips(df.limit(0), order, 3).count() == 0
+
+
 def test_bisection_agrees_with_ranks(spark):
     est = spark.range(1, 101).select(F.col("id").alias("cell_id"), F.col("id").cast("double").alias("est"))
     up, down = norms.fraction_by_bisection(est, 0.1, 0.05)

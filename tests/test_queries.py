@@ -27,7 +27,7 @@ def test_octree_is_balanced(spark, sf):
             if 0 <= x < 2**level and 0 <= y < 2**level:
                 for up in range(2, level + 1):
                     assert (level - up, x >> up, y >> up) not in leaf
-    assert {r.part for r in rows} == {1, 2, 3}
+    assert {r.part for r in rows} == {1, 2, 3, 4, 5}
 
 
 @pytest.mark.parametrize("symmetric", [False, True])
