@@ -101,3 +101,42 @@ def parsed(text: str) -> Column:
     while m := re.search(r"(\w+(?:\([^()]*\))?|\([^()]*\))\s*\^\s*(\w+(?:\([^()]*\))?|\([^()]*\))", body):
         body = f"{body[: m.start()]}power({m[1]}, {m[2]}){body[m.end() :]}"
     return F.expr(body).cast("double")
+
+
+def vector(*texts: str) -> Column:
+    """One formula for each component."""
+    return F.array(*map(parsed, texts))
+
+
+def tensor(rows: list[list[str]]) -> Column:
+    return F.array(*(vector(*r) for r in rows))
+
+
+def with_gradient(text: str, gradient: list[str]) -> Column:
+    """struct<value, gradient> of a scalar formula and those of its derivatives."""
+    return F.struct(parsed(text).alias("value"), vector(*gradient).alias("gradient"))
+
+
+def vector_with_gradient(texts: list[str], gradient: list[list[str]]) -> Column:
+    """struct<value, gradient>; gradient[i][j] is the derivative of component j by coordinate i."""
+    return F.struct(vector(*texts).alias("value"), tensor(gradient).alias("gradient"))
+
+
+def time_derivatives(*texts: str) -> Column:
+    """The formula and those of its derivatives by t: element n is the n-th derivative."""
+    return vector(*texts)
+
+
+def component(v: Column, *index: int) -> Column:
+    """One component of a vector or tensor, from 0."""
+    for i in index:
+        v = F.get(v, i)
+    return v
+
+
+def divergence_of(gradient: Column) -> Column:
+    return trace(gradient)
+
+
+def constant(*values: float) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values)) if len(values) > 1 else F.lit(float(values[0]))

@@ -23,12 +23,16 @@ def cylinder(radius: float, centre: tuple[float, float] = (0.0, 0.0)) -> Column:
     return sphere(radius, (*centre, 0.0), 2)
 
 
+#: Fixed values of the surface with holes: the scale of coordinates, three squares and the level.
+CHEESE = (1.85, 4.0, 1.2, 12.0)
+
+
 def cheese_block() -> Column:
     """A surface of degree four with holes along all axes."""
-    sq = {a: F.col(a) * F.col(a) for a in "xyz"}
-    term = lambda a, b: F.pow(sq[a] + sq[b] - 4, F.lit(2.0))
-    last = sum((F.pow(sq[a] - 1, F.lit(2.0)) for a in "xyz"), F.lit(0.0))
-    return term("x", "y") + term("y", "z") + term("z", "x") + last - 15
+    scale, far, near, level = CHEESE
+    sq = {a: F.pow(F.col(a) * scale, F.lit(2.0)) for a in "xyz"}
+    pairs = sum((F.pow(sq[a] + sq[b] - far, F.lit(2.0)) for a, b in ("xy", "yz", "zx")), F.lit(0.0))
+    return pairs + sum((F.pow(sq[a] - near, F.lit(2.0)) for a in "xyz"), F.lit(0.0)) - level
 
 
 def distance2(centre: tuple[float, float, float]) -> Column:

@@ -61,6 +61,12 @@ def quotient_graph(graph: DataFrame, parts: DataFrame, include_self: bool = Fals
     return a.groupBy("part", "neighbour_part").agg(F.count("*").alias("links"))
 
 
+def masked_degree(graph: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, degree): neighbours inside a cell's own part, of cells that have one."""
+    a = graph.join(parts, "cell_id").join(parts.select(F.col("cell_id").alias("neighbour"), F.col("part").alias("other")), "neighbour")
+    return a.where("part = other").groupBy(F.col("cell_id").alias("id")).agg(F.count("*").alias("degree"))
+
+
 def parts_around(incidence: DataFrame, parts: DataFrame) -> DataFrame:
     """(vertex, parts): the sorted parts around each vertex."""
     return incidence.join(parts, "cell_id").groupBy("vertex").agg(F.sort_array(F.collect_set("part")).alias("parts"))

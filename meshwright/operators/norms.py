@@ -86,3 +86,43 @@ def effectivity(estimates: DataFrame, errors: DataFrame, cell: str = "cell_id")
 def global_effectivity(estimates: DataFrame, errors: DataFrame, cell: str = "cell_id") -> DataFrame:
     both = estimates.join(errors.select(cell, "sq_err"), cell)
     return both.agg(F.try_divide(F.sqrt(F.sum("sq_est")), F.sqrt(F.sum("sq_err"))).alias("effectivity"))
+
+
+def vector_norms(value: str = "e", weight: str = "w", p: float = 2.0) -> dict[str, Column]:
+    """Aggregates over points with an array column: mean by component summed in length, L1, L2, Lp of the lengths, and the
+    greatest component."""
+    length = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
+    w = F.col(weight)
+    return {
+        "l1": F.sum(w * F.aggregate(value, F.lit(0.0), lambda a, x: a + F.abs(x))), "l2": F.sqrt(F.sum(w * length * length)),
+        "lp": F.pow(F.sum(w * F.aggregate(value, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(p)))), F.lit(1.0 / p)),
+        "linfty": F.max(F.array_max(F.transform(value, lambda x: F.abs(x)))),
+    }
+
+
+def tensor_norms(value: str = "e", weight: str = "w") -> dict[str, Column]:
+    """The same for an array of rows: mean (of all entries), L1, L2 and the greatest entry."""
+    flat, w = F.flatten(value), F.col(weight)
+    return {
+        "mean": F.sum(w * F.aggregate(flat, F.lit(0.0), lambda a, x: a + x)), "l1": F.sum(w * F.aggregate(flat, F.lit(0.0), lambda a, x: a + F.abs(x))),
+        "l2": F.sqrt(F.sum(w * F.aggregate(flat, F.lit(0.0), lambda a, x: a + x * x))), "linfty": F.max(F.array_max(F.transform(flat, lambda x: F.abs(x)))),
+    }
+
+
+def uniform(cells: DataFrame, flag: int = 1) -> DataFrame:
+    """(cell_id, flag): all cells alike."""
+    return cells.select("cell_id", F.lit(flag).alias("flag"))
+
+
+def objective_reached(estimates: DataFrame, target: float, tolerance: float, done: int, most: int) -> bool:
+    """Whether the sum of squared estimates is below the target; an error after ``most`` refinements without that."""
+    total = estimates.agg(F.coalesce(F.sum("sq_est"), F.lit(0.0))).first()[0]
+    if total < target * target * (1 + tolerance):
+        return True
+    if done >= most:
+        raise ArithmeticError(f"the objective is not reached after {done} refinements: {total**0.5:g} against {target:g}")
+    return False
+
+
+def enough(done: int, most: int = 10) -> bool:
+    return done >= most

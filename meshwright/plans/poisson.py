@@ -12,13 +12,15 @@ from meshwright.plans.solvers import conjugate_gradients, solution
 from meshwright.sources import structured
 
 
-def solve(spark: SparkSession, sizes: list[int], source: Column, exact: Column, tolerance: float = 1e-11) -> tuple[DataFrame, DataFrame]:
-    """(solution (idx, val), quadrature points) of -div grad u = source with u = exact on the boundary of the unit box;
-    NotConverged if the solver stops above ``tolerance``."""
+def solve(spark: SparkSession, sizes: list[int], source: Column, exact: Column, tolerance: float = 1e-11, order: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(solution (idx, val), quadrature points) of -div grad u = source with u = exact on the boundary of the unit box, by
+    elements of ``order``; NotConverged if the solver stops above ``tolerance``."""
     cut, dims = Tables(spark).cut, len(sizes)
-    cells, vertices = structured.cells(spark, sizes), structured.vertices(spark, sizes, [(0.0, 1.0)] * dims)
-    points = cut(assembly.quadrature_points(assembly.cell_points(cells, vertices), dims, 2), "points")
-    fixed = cut(vertices.where("boundary").select(F.col("vertex_id").alias("idx"), exact.alias("val")), "fixed")
+    box = [(0.0, 1.0)] * dims
+    cells = structured.dofs(structured.cells(spark, sizes), sizes, order)
+    points = cut(assembly.quadrature_points(assembly.cell_points(cells, structured.vertices(spark, sizes, box)), dims, order + 1, order), "points")
+    nodes = structured.vertices(spark, [n * order for n in sizes], box)
+    fixed = cut(assembly.interpolated(nodes.where("boundary"), exact), "fixed")
     matrix, rhs = assembly.eliminated(assembly.laplacian(points, dims), assembly.load(points, source, dims), fixed)
     inner = solution(conjugate_gradients(matrix, rhs, tolerance, cut=cut))
     return cut(inner.unionByName(fixed), "solution"), points

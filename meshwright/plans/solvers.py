@@ -5,6 +5,7 @@ the matrix and one pass over the vectors. Each iteration is cut by a reliable ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,27 +47,78 @@ def inverse_diagonal(matrix: DataFrame) -> DataFrame:
     return matrix.where("ia = ja").select(F.col("ia").alias("idx"), F.try_divide(F.lit(1.0), F.col("val")).alias("d"))
 
 
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most: int | None = None, jacobi: bool = True, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
-    """(idx, val) for a symmetric positive matrix. Stops when |r| <= tolerance * |b|, or after ``most`` steps,
-    which follow the number of unknowns if not given; ``solution`` refuses what did not converge. A breakdown (p, A p) = 0 takes a step of 0."""
+#: What the norm of the residual (res) or of the step (delta) is compared with, by name of the criterion.
+CRITERIA = (
+    "res_nrmgiven_rhs_nrmgiven", "res_nrmgiven_res_nrmgiven", "delta_rhs", "delta_delta", "res_res", "res_rhs", "delta_rhs_and_res_res", "delta_rhs_and_res_rhs",
+    "delta_delta_and_res_res", "delta_delta_and_res_rhs",
+)
+
+
+@dataclass
+class Norms:
+    """What a criterion may look at; ``given`` is the norm of the preconditioned residual, first ones are those of step 0 and 1."""
+
+    rhs: float
+    residual: float
+    first_residual: float
+    given: float
+    first_given: float
+    given_rhs: float
+    step: float | None = None
+    first_step: float | None = None
+
+
+def met(criterion: str, n: Norms, relative: float, absolute: float) -> bool:
+    """Whether an iteration may stop. A step has no norm before the first one is made, so it is not small yet."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"no criterion is called {criterion}; there are {CRITERIA}")
+    single = {
+        "res_nrmgiven_rhs_nrmgiven": lambda: n.given <= relative * n.given_rhs + absolute,
+        "res_nrmgiven_res_nrmgiven": lambda: n.given <= relative * n.first_given + absolute,
+        "delta_rhs": lambda: n.step is not None and n.step <= relative * n.rhs + absolute,
+        "delta_delta": lambda: n.step is not None and n.first_step is not None and n.step <= relative * n.first_step + absolute,
+        "res_res": lambda: n.residual <= relative * n.first_residual + absolute,
+        "res_rhs": lambda: n.residual <= relative * n.rhs + absolute,
+    }
+    return all(single[c]() for c in criterion.split("_and_"))
+
+
+def conjugate_gradients(
+    matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most: int | None = None, jacobi: bool = True, cut: Cut = checkpointed,
+    criterion: str = "res_rhs", absolute: float = 0.0, inexact: bool = False,
+) -> tuple[DataFrame, Report]:
+    """(idx, val) for a symmetric positive matrix. Stops by ``criterion`` (at once if the right side is 0), or after
+    ``most`` steps, which follow the number of unknowns if not given; ``solution`` refuses what did
+    not converge. A breakdown (p, A p) = 0 takes a step of 0. ``inexact``: the direction's factor takes the change
+    of the residual, which allows a preconditioner that is not quite the same in each step."""
     matrix = cut(matrix, "matrix")
     d = inverse_diagonal(matrix)
     w = rhs.join(d, "idx", "left").select("idx", F.lit(0.0).alias("x"), F.col("val").alias("r"), (F.coalesce("d", F.lit(1.0)) if jacobi else F.lit(1.0)).alias("d"))
     w = cut(w.withColumn("p", F.col("r") * F.col("d")), "start")
-    norm0, rz, unknowns = scalars(w, b=F.col("r") * F.col("r"), z=F.col("r") * F.col("r") * F.col("d"), n=F.lit(1))
+    sums = {"r": F.col("r") * F.col("r"), "z": F.col("r") * F.col("r") * F.col("d"), "g": F.col("r") * F.col("r") * F.col("d") * F.col("d")}
+    r2, rz, g2, unknowns = scalars(w, **sums, n=F.lit(1))
+    norms = Norms(r2**0.5, r2**0.5, r2**0.5, g2**0.5, g2**0.5, g2**0.5)
     most = step_limit(unknowns) if most is None else most
-    residual, k = norm0, 0
-    while k < most and residual > (tolerance**2) * norm0:
+    k, done = 0, r2 == 0 or met(criterion, norms, tolerance, absolute)
+    while k < most and not done:
         k += 1
         ap = spmv(matrix, w.select("idx", F.col("p").alias("val"))).select("idx", F.col("val").alias("ap"))
         w = cut(w.drop("ap").join(ap, "idx", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))), f"product{k}")
-        (pap,) = scalars(w, a=F.col("p") * F.col("ap"))
+        pap, p2 = scalars(w, a=F.col("p") * F.col("ap"), p=F.col("p") * F.col("p"))
         alpha = rz / pap if pap else 0.0
-        w = w.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
-        residual, new = scalars(w, r=F.col("r") * F.col("r"), z=F.col("r") * F.col("r") * F.col("d"))
-        w = w.withColumn("p", F.col("r") * F.col("d") + (new / rz if rz else 0.0) * F.col("p"))
+        w = w.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap"), "old": F.col("r")})
+        r2, new, g2, cross = scalars(w, **sums, c=F.col("old") * F.col("r") * F.col("d"))
+        norms.residual, norms.given, norms.step = r2**0.5, g2**0.5, abs(alpha) * p2**0.5
+        norms.first_step = norms.step if norms.first_step is None else norms.first_step
+        beta = ((new - cross) if inexact else new) / rz if rz else 0.0
+        w = w.drop("old").withColumn("p", F.col("r") * F.col("d") + beta * F.col("p"))
         rz = new
-    return w.select("idx", F.col("x").alias("val")), Report(k, residual**0.5, residual <= (tolerance**2) * norm0)
+        done = r2 == 0 or met(criterion, norms, tolerance, absolute)
+    return w.select("idx", F.col("x").alias("val")), Report(k, r2**0.5, done)
+
+
+def inexact_conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most: int | None = None, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
+    return conjugate_gradients(matrix, rhs, tolerance, most, cut=cut, inexact=True)
 
 
 def richardson(matrix: DataFrame, rhs: DataFrame, relaxation: float = 1.0, tolerance: float = 1e-8, most: int = 200, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
@@ -84,46 +136,94 @@ def richardson(matrix: DataFrame, rhs: DataFrame, relaxation: float = 1.0, toler
     return w.select("idx", F.col("x").alias("val")), Report(k, residual**0.5, residual <= (tolerance**2) * norm0)
 
 
-def gmres(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
-    """Restarted GMRES, right-preconditioned by the inverse diagonal. The basis is a column array, so all
-    products with a new vector are one aggregation; the small least-squares problem is the driver's."""
+Precondition = Callable[[DataFrame], DataFrame]
+
+
+def jacobi(matrix: DataFrame) -> Precondition:
+    """Division by the diagonal; entries without one stay as they are."""
+    d = inverse_diagonal(matrix)
+    return lambda v: v.join(d, "idx", "left").select("idx", (F.col("val") * F.coalesce("d", F.lit(1.0))).alias("val"))
+
+
+def arnoldi(matrix: DataFrame, rhs: DataFrame, restart: int, tolerance: float, most: int, cut: Cut, precondition: Precondition | None, side: str, orthogonal: bool) -> tuple[DataFrame, Report]:
+    """Restarted Krylov methods on one basis. The basis is a column array, so all products with a new vector
+    are one aggregation; the small problem is the driver's. ``side``: left, right or flexible (the
+    preconditioned vectors are kept, so it may change from step to step); ``orthogonal``: the residual
+    is orthogonal to the basis (FOM) instead of least (GMRES)."""
     import numpy as np
 
     matrix = cut(matrix, "matrix")
-    base = cut(rhs.join(inverse_diagonal(matrix), "idx", "left").select("idx", F.lit(0.0).alias("x"), F.col("val").alias("b"), F.coalesce("d", F.lit(1.0)).alias("d")), "start")
-    (norm0,) = scalars(base, b=F.col("b") * F.col("b"))
-    total, residual = 0, norm0**0.5
-    while total < most and residual > tolerance * norm0**0.5:
-        ax = spmv(matrix, base.select("idx", F.col("x").alias("val"))).select("idx", F.col("val").alias("ax"))
-        w = cut(base.join(ax, "idx", "left").withColumn("v", F.col("b") - F.coalesce("ax", F.lit(0.0))).drop("ax"), f"restart{total}")
-        (beta2,) = scalars(w, r=F.col("v") * F.col("v"))
-        beta = beta2**0.5
-        if beta == 0:
-            residual = 0.0
+    m = precondition or jacobi(matrix)
+    base = cut(rhs.select("idx", F.lit(0.0).alias("x"), F.col("val").alias("b")), "start")
+
+    def joined(w: DataFrame, v: DataFrame, name: str) -> DataFrame:
+        return w.join(v.select("idx", F.col("val").alias(name)), "idx", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+    def prepared(v: DataFrame) -> DataFrame:
+        return m(v) if side == "left" else v
+
+    first = cut(prepared(rhs.select("idx", "val")), "first")
+    (norm0,) = scalars(first, b=F.col("val") * F.col("val"))
+    total, residual, goal = 0, norm0**0.5, tolerance * norm0**0.5
+    while total < most and residual > goal:
+        ax = spmv(matrix, base.select("idx", F.col("x").alias("val")))
+        r = joined(base, ax, "ax").select("idx", (F.col("b") - F.col("ax")).alias("val"))
+        w = cut(joined(base, prepared(r), "v"), f"restart{total}")
+        beta = scalars(w, r=F.col("v") * F.col("v"))[0] ** 0.5
+        if beta <= goal:
+            residual = beta
             break
-        w = w.select("idx", "x", "b", "d", F.array(F.col("v") / beta).alias("V"))
-        h = np.zeros((restart + 1, restart))
+        w = w.select("idx", "x", "b", F.array(F.col("v") / beta).alias("basis"), F.array().cast("array<double>").alias("moves"))
+        h, y = np.zeros((restart + 1, restart)), np.zeros(0)
         for j in range(restart):
             total += 1
-            av = spmv(matrix, w.select("idx", (F.get("V", j) * F.col("d")).alias("val"))).select("idx", F.col("val").alias("av"))
-            w = cut(w.join(av, "idx", "left").withColumn("av", F.coalesce("av", F.lit(0.0))), f"product{total}")
-            h[: j + 1, j] = scalars(w, **{f"h{i}": F.get("V", i) * F.col("av") for i in range(j + 1)})
+            v = w.select("idx", F.get("basis", j).alias("val"))
+            z = v if side == "left" else cut(m(v), f"prepared{total}")
+            av = prepared(spmv(matrix, z))
+            w = joined(w, av, "av")
+            w = cut((joined(w, z, "z").withColumn("moves", F.array_append("moves", F.col("z"))).drop("z") if side == "flexible" else w), f"product{total}")
+            h[: j + 1, j] = scalars(w, **{f"h{i}": F.get("basis", i) * F.col("av") for i in range(j + 1)})
             left = F.col("av")
             for i in range(j + 1):
-                left = left - float(h[i, j]) * F.get("V", i)
+                left = left - float(h[i, j]) * F.get("basis", i)
             w = cut(w.withColumn("av", left), f"orthogonal{total}")
-            (n2,) = scalars(w, n=F.col("av") * F.col("av"))
-            h[j + 1, j] = n2**0.5
+            h[j + 1, j] = scalars(w, n=F.col("av") * F.col("av"))[0] ** 0.5
             e = np.zeros(j + 2)
             e[0] = beta
-            y, *_ = np.linalg.lstsq(h[: j + 2, : j + 1], e, rcond=None)
-            residual = float(np.linalg.norm(e - h[: j + 2, : j + 1] @ y))
-            if residual <= tolerance * norm0**0.5 or total >= most or h[j + 1, j] < 1e-14 * beta:
+            if orthogonal:
+                y = np.linalg.lstsq(h[: j + 1, : j + 1], e[: j + 1], rcond=None)[0]
+                residual = float(abs(h[j + 1, j] * y[j]))
+            else:
+                y = np.linalg.lstsq(h[: j + 2, : j + 1], e, rcond=None)[0]
+                residual = float(np.linalg.norm(e - h[: j + 2, : j + 1] @ y))
+            if residual <= goal or total >= most or h[j + 1, j] < 1e-14 * beta:
                 break
-            w = w.select("idx", "x", "b", "d", F.array_append("V", F.col("av") / float(h[j + 1, j])).alias("V"))
-        step = sum((float(c) * F.get("V", i) for i, c in enumerate(y)), F.lit(0.0)) * F.col("d")
-        base = w.select("idx", (F.col("x") + step).alias("x"), "b", "d")
-    return base.select("idx", F.col("x").alias("val")), Report(total, residual, residual <= tolerance * norm0**0.5)
+            w = w.select("idx", "x", "b", F.array_append("basis", F.col("av") / float(h[j + 1, j])).alias("basis"), "moves")
+        name = "moves" if side == "flexible" else "basis"
+        step = w.select("idx", sum((float(c) * F.get(name, i) for i, c in enumerate(y)), F.lit(0.0)).alias("val"))
+        step = m(step) if side == "right" else step
+        base = cut(joined(w, step, "s").select("idx", (F.col("x") + F.col("s")).alias("x"), "b"), f"updated{total}")
+    return base.select("idx", F.col("x").alias("val")), Report(total, residual, residual <= goal)
+
+
+def gmres(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed, precondition: Precondition | None = None) -> tuple[DataFrame, Report]:
+    """Restarted GMRES, preconditioned from the right, by the inverse diagonal unless given."""
+    return arnoldi(matrix, rhs, restart, tolerance, most, cut, precondition, "right", False)
+
+
+def left_gmres(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed, precondition: Precondition | None = None) -> tuple[DataFrame, Report]:
+    """Restarted GMRES, preconditioned from the left: the preconditioned residual is made small."""
+    return arnoldi(matrix, rhs, restart, tolerance, most, cut, precondition, "left", False)
+
+
+def flexible_gmres(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed, precondition: Precondition | None = None) -> tuple[DataFrame, Report]:
+    """Restarted GMRES that allows another preconditioner in each step."""
+    return arnoldi(matrix, rhs, restart, tolerance, most, cut, precondition, "flexible", False)
+
+
+def full_orthogonalization(matrix: DataFrame, rhs: DataFrame, restart: int = 30, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed, precondition: Precondition | None = None) -> tuple[DataFrame, Report]:
+    """Restarted FOM, preconditioned from the left."""
+    return arnoldi(matrix, rhs, restart, tolerance, most, cut, precondition, "left", True)
 
 
 def minres(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-8, most: int = 300, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
@@ -158,14 +258,42 @@ def minres(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-8, most: int
     return w.select("idx", F.col("x").alias("val")), Report(k, abs(eta), abs(eta) <= tolerance * norm0)
 
 
-def newton(residual, tangent_solve, start: DataFrame, tolerance: float = 1e-10, most: int = 20, cut: Cut = checkpointed) -> tuple[DataFrame, Report]:
+#: When Newton stops: the residual's norm, the step against the solution, the residual against the first one, or both of these.
+NEWTON_CRITERIA = ("abs_res", "rel_inc", "rel_res", "rel_inc_and_rel_res")
+
+
+def newton(residual, tangent_solve, start: DataFrame, tolerance: float = 1e-10, most: int = 20, cut: Cut = checkpointed, criterion: str = "abs_res") -> tuple[DataFrame, Report]:
     """Newton: ``residual(u)`` gives (idx, val), ``tangent_solve(u, r)`` the correction (idx, val) for the right side r."""
-    u, k = cut(start, "newton0"), 0
+    if criterion not in NEWTON_CRITERIA:
+        raise ValueError(f"no criterion is called {criterion}; there are {NEWTON_CRITERIA}")
+    u, k, first, moved = cut(start, "newton0"), 0, None, False
     while True:
         r = cut(residual(u), f"residual{k}")
-        (n2,) = scalars(r, n=F.col("val") * F.col("val"))
-        if n2**0.5 <= tolerance or k >= most:
-            return u, Report(k, n2**0.5, n2**0.5 <= tolerance)
+        now = scalars(r, n=F.col("val") * F.col("val"))[0] ** 0.5
+        first = now if first is None else first
+        small = {"abs_res": now <= tolerance, "rel_inc": moved, "rel_res": now <= tolerance * first, "rel_inc_and_rel_res": moved and now <= tolerance * first}[criterion]
+        if now == 0 or small or k >= most:
+            return u, Report(k, now, now == 0 or small)
         k += 1
-        step = tangent_solve(u, r.select("idx", (-F.col("val")).alias("val")))
+        step = cut(tangent_solve(u, r.select("idx", (-F.col("val")).alias("val"))), f"step{k}")
+        (s2,), (u2,) = scalars(step, n=F.col("val") * F.col("val")), scalars(u, n=F.col("val") * F.col("val"))
+        moved = s2**0.5 <= tolerance * u2**0.5
         u = cut(u.select("idx", "val").unionByName(step.select("idx", "val")).groupBy("idx").agg(F.sum("val").alias("val")), f"newton{k}")
+
+
+Solver = Callable[..., tuple[DataFrame, Report]]
+#: Solvers by name; ``register`` adds a user's own.
+SOLVERS: dict[str, Solver] = {
+    "cg": conjugate_gradients, "icg": inexact_conjugate_gradients, "richardson": richardson, "rgmres": gmres, "lgmres": left_gmres, "fgmres": flexible_gmres,
+    "lfom": full_orthogonalization, "minres": minres,
+}
+
+
+def register(name: str, solver: Solver) -> None:
+    SOLVERS[name] = solver
+
+
+def solve(name: str, matrix: DataFrame, rhs: DataFrame, **options) -> tuple[DataFrame, Report]:
+    if name not in SOLVERS:
+        raise ValueError(f"no solver is called {name}; there are {sorted(SOLVERS)}")
+    return SOLVERS[name](matrix, rhs, **options)

@@ -411,3 +411,6 @@ def octree_balance(spark, d):
     """The quadtree over the points of ``part``, balanced 2:1 over sides and corners, in five parts along the curve."""
     tree = octree.from_points(tree_points(spark, d), 3, 6)
     return octree.partition(octree.balance(tree), 5)
+
+
+from meshwright import queries_more  # noqa: E402, F401  (it registers its queries here)

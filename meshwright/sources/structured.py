@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,18 @@ def parts(grid: DataFrame, sizes: list[int], blocks: list[int]) -> DataFrame:
     """(cell_id, part): blocks of the grid, parts from 1."""
     at = [F.floor(F.col(n) * b / s) for n, b, s in zip("ijk", blocks, sizes, strict=False)]
     return grid.select("cell_id", (linear(at, blocks) + 1).cast("long").alias("part"))
+
+
+def dofs(grid: DataFrame, sizes: list[int], order: int) -> DataFrame:
+    """``grid`` with ``dofs``: the unknowns of continuous elements of ``order``, the points of the lattice that is
+    ``order`` times as fine, numbered from 1 with x fastest; x fastest inside a cell, too."""
+    points = [n * order + 1 for n in sizes]
+    at = [F.col(n) * order for n in "ijk"[: len(sizes)]]
+    steps = [list(reversed(m)) for m in itertools.product(range(order + 1), repeat=len(sizes))]
+    return grid.withColumn("dofs", F.array(*((linear([c + s for c, s in zip(at, m, strict=True)], points) + 1).cast("long") for m in steps)))
+
+
+def broken_dofs(grid: DataFrame, order: int, dims: int) -> DataFrame:
+    """``grid`` with ``dofs`` of discontinuous elements: each cell has its own."""
+    size = (order + 1) ** dims
+    return grid.withColumn("dofs", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda a: (F.col("cell_id") - 1) * size + a))
