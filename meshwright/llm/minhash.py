@@ -34,9 +34,10 @@ from meshwright.operators.graph import connected_components
 
 PERCENT = 80
 GROUPS, PER_GROUP = 14, 2
-PIECE = 4_000_000
+PIECE = 1_000_000
 ROUNDS = 2
 SKETCH = 3072
+PART = 32_768
 #: Members of a bucket that one task compares with as many others; larger buckets are cut into blocks of about this size.
 BLOCK = 2000
 WORD = np.ones(256, bool)
@@ -151,12 +152,15 @@ def sketched(sets: DataFrame) -> DataFrame:
             rows = []
             for s in b.column(1):
                 own = np.frombuffer(s.as_buffer(), np.uint64)
-                bits = np.zeros(SKETCH, np.uint64)
-                for k in range(0, SKETCH, 32):
-                    h = own[:, None] * seeds[None, k : k + 32]
-                    h ^= h >> np.uint64(31)
-                    h *= np.uint64(0xD6E8FEB86659FD93)
-                    bits[k : k + 32] = (h.min(axis=0) >> np.uint64(20)) & np.uint64(1)
+                least = np.full(SKETCH, np.uint64(2**64 - 1))
+                # A long set is worked on in parts, so that memory does not follow its size.
+                for at in range(0, len(own), PART):
+                    for k in range(0, SKETCH, 32):
+                        h = own[at : at + PART, None] * seeds[None, k : k + 32]
+                        h ^= h >> np.uint64(31)
+                        h *= np.uint64(0xD6E8FEB86659FD93)
+                        least[k : k + 32] = np.minimum(least[k : k + 32], h.min(axis=0))
+                bits = (least >> np.uint64(20)) & np.uint64(1)
                 rows.append((bits.reshape(-1, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "sketch"])
 
@@ -174,11 +178,15 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.get("sig", i), F.get("sig", j)) for k, (i, j) in enumerate(tables)))
     entries = reps.select("id", "n", F.posexplode(keys).alias("pos", "key"))
-    shared = scratch.table(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", "least"), "shared")
-    members = scratch.table(entries.join(shared, "key"), "members")
-    tried = scratch.table(members.where(F.col("id") != F.col("least.id")).where(sized("n", "least.n", percent)).select(*ordered("least.id", "id")).distinct(), "pairs0")
+    # Plain numbers only, so that both sides of the shuffle are hashed, not sorted.
+    shared = entries.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    members = scratch.table(entries.join(scratch.table(shared, "shared"), "key"), "members")
+    asked = scratch.table(members.where("id != least").select("least", "id", "n").distinct(), "asked")
+    sizes = asked.groupBy("least").agg(F.count("*").alias("w")).join(reps.select(F.col("id").alias("least"), F.col("n").alias("least_n")), "least")
+    tried = hot_join(asked, scratch.table(sizes, "sizes"), "least", "w").where(sized("n", "least_n", percent))
+    tried = scratch.table(tried.select(*ordered("least", "id")).distinct(), "pairs0")
     members = members.select("key", "pos", "id", "n")
-    narrow = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+    narrow = {"spark.sql.execution.arrow.maxRecordsPerBatch": "128"}
     wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("rep").alias("doc_id"))
     sets = sets_of((docs.distinct() if repeated else docs).join(wanted, "doc_id"), size)
     sets = scratch.table(sets.dropDuplicates(["id"]) if repeated else sets, "sets", narrow)
