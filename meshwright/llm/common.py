@@ -196,29 +196,57 @@ class Prefixes:
         return parts[0] | (parts[1] << np.uint64(31))
 
 
+#: The lowest k bytes of a number, k from 0 to 8.
+LOWEST = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+TOP = np.uint64(56)
+
+
 def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal slices of a buffer that they cover without gaps: the place of each class's first slice, and every
-    slice's class. Slices are grouped by hash and then compared byte by byte with the first one of
-    their class, so slices of one class are equal whatever the hash."""
-    keys = mixed(Prefixes(data, seed).of(starts, ends)) ^ (ends - starts).astype(np.uint64)
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    """Equal slices of a buffer: the place of each class's first slice, and every slice's class.
+
+    Slices of up to 7 bytes are numbers themselves. Longer ones are grouped by hash and then compared
+    with the first one of their class, byte by byte, so slices of one class are equal whatever the hash."""
     if not len(starts):
-        return first, which
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = ends - starts
-    kind = np.int32 if 2 * len(data) < 2**31 else np.int64
-    source = np.repeat((starts[first][which] - starts).astype(kind), sizes)
-    source += np.arange(starts[0], ends[-1], dtype=kind)
-    differ = data.take(source, mode="clip") != data[starts[0] : ends[-1]]
-    odd = np.flatnonzero((sizes[first][which] != sizes) | np.logical_or.reduceat(differ, starts - starts[0]))
+    eight = byte_words(np.append(data, np.zeros(8, np.uint8)))
+    head = eight[starts] & LOWEST[np.minimum(sizes, 8)]
+    keys = head | (np.minimum(sizes, 7).astype(np.uint64) << TOP)
+    some = np.flatnonzero(sizes > 7)
+    tail = eight[ends[some] - 8]
+    hashes = mixed(head[some] ^ mixed(tail))
+    # Of slices over 16 bytes, a pool: the two ends do not tell all of them.
+    long = np.flatnonzero(sizes[some] > 16)
+    far = some[long]
+    begun = np.cumsum(sizes[far]) - sizes[far]
+    pool = data[np.repeat(starts[far] - begun, sizes[far]) + np.arange(int(sizes[far].sum()))]
+    if len(far):
+        hashes[long] = mixed(hashes[long] ^ Prefixes(pool, seed).of(begun, begun + sizes[far]))
+    keys[some] = (hashes >> np.uint64(8)) | ((8 + (sizes[some] - 8) % 248).astype(np.uint64) << TOP)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    if not len(some):
+        return first, which
+    # Where each slice over 7 bytes, and over 16, stands among them; -1: it is shorter.
+    place, in_pool = np.full(len(starts), -1), np.full(len(starts), -1)
+    place[some], in_pool[far] = np.arange(len(some)), begun
+    other = first[which[some]]
+    differ = (sizes[other] != sizes[some]) | (head[other] != head[some]) | (tail[place[other]] != tail)
+    whole = long[~differ[long]]
+    if len(whole):
+        own, begin, size = other[whole], begun[np.searchsorted(long, whole)], sizes[some[whole]]
+        at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        apart = pool[at + np.repeat(in_pool[own] - begin, size)] != pool[at]
+        differ[whole] |= np.logical_or.reduceat(apart, np.cumsum(size) - size)
+    odd = some[differ]
     if len(odd):
-        own: dict[bytes, int] = {}
+        known: dict[bytes, int] = {}
         first = first.tolist()
         for i in odd.tolist():
             raw = data[starts[i] : ends[i]].tobytes()
-            if raw not in own:
-                own[raw] = len(first)
+            if raw not in known:
+                known[raw] = len(first)
                 first.append(i)
-            which[i] = own[raw]
+            which[i] = known[raw]
         first = np.array(first)
     return first, which
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from meshwright.llm.common import Scratch, alike, bounded_prefix, by_size, bytes_of, settled, text_frame
 
 END_ID = 2
-PIECE = 1_000_000
+PIECE = 1_500_000
 MOST_KNOWN = 800_000
 #: Text bytes for each file at most, on average, once there are more than the session's shuffle partitions hold.
 FILE_BYTES = 256_000_000
@@ -42,6 +43,16 @@ LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 SUFFIXES = {b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"}
 
 
+def byte_characters() -> dict[int, str]:
+    """The alphabet of byte-level tokenizers: printing characters of Latin-1 stand for themselves, the other bytes for characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's own."""
 
@@ -53,13 +64,16 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.split = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        # A pre-token is what the library's merge model takes, byte by byte in its alphabet.
+        self.model = self.tokenizer.model if self.split and (spec.get("model") or {}).get("type") == "BPE" else None
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         self.learn(np.arange(128))
         self.forget()
 
     def forget(self) -> None:
+        """Known pre-tokens by number; the ids of number k are flat[ends[k]:ends[k + 1]]. Both arrays grow by doubling."""
         self.known: dict[bytes, int] = {}
-        self.flat, self.ends = np.zeros(1 << 16, np.int32), [0]
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
     def learn(self, points: np.ndarray) -> None:
         """Ask the library with which characters each of these joins."""
@@ -131,22 +145,36 @@ class Encoder:
         words = [raw[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) + len(words) > MOST_KNOWN:
             self.forget()
-        self.add([w for w in words if w not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
-        bounds = np.array(self.ends)
-        lengths = (bounds[1:] - bounds[:-1])[number]
+        got = list(map(self.known.get, words))
+        new = [i for i, k in enumerate(got) if k is None]
+        base = self.add([words[i] for i in new])
+        number = np.array([-1 if k is None else k for k in got] if new else got, np.int64)
+        number[new] = np.arange(base, base + len(new))
+        number = number[which]
+        bounds = self.ends
+        lengths = bounds[number + 1] - bounds[number]
         at = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(bounds[number] - at[:-1], lengths) + np.arange(at[-1])]
         return ids, at[np.searchsorted(begins, offsets)]
 
-    def add(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids, end = e.ids, self.ends[-1]
-            if end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-            self.flat[end : end + len(ids)] = ids
-            self.known[w] = len(self.ends) - 1
-            self.ends.append(end + len(ids))
+    def add(self, words: list[bytes]) -> int:
+        """Encode further pre-tokens; the number of the first."""
+        base = len(self.known)
+        if self.model is None:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        else:
+            tokenize = self.model.tokenize
+            lists = [[t.id for t in tokenize(w.decode("latin-1").translate(BYTE_CHARACTERS))] for w in words]
+        ends = int(self.ends[base]) + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        if base + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words) + 1), np.int64)])
+        if len(lists):
+            if ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), int(ends[-1])), np.int32)])
+            self.flat[self.ends[base] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1] - self.ends[base]))
+        self.ends[base + 1 : base + 1 + len(words)] = ends
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        return base
 
 
 _encoders: dict[str, Encoder] = {}
