@@ -194,6 +194,23 @@ def test_running_assembly_of_a_stream(spark, tmp_path):
     assert {(r.ia, r.ja): r.val for r in spark.table("running").collect()} == {(1, 1): 6.0, (1, 2): 3.0}
 
 
+def test_windows_of_a_stream_are_final_behind_the_watermark(spark, tmp_path):
+    from meshwright.streaming.assembly import windowed_matrix
+
+    parts = [[("10:01", 1, 1, 2.0), ("10:04", 1, 1, 3.0), ("10:06", 2, 1, 1.0)], [("10:30", 1, 1, 9.0)], [("10:02", 1, 1, 100.0), ("10:31", 9, 9, 1.0), ("10:55", 1, 2, 1.0)]]
+    schema = "at timestamp, ia long, ja long, val double"
+    source = str(tmp_path / "in")
+    stream = windowed_matrix(spark.readStream.schema(schema).parquet(source), "at", "5 minutes", "10 minutes", 5, 5) if (tmp_path / "in").mkdir() is None else None
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows").start()
+    for part in parts:
+        rows = spark.createDataFrame([(f"2024-01-01 {t}:00", i, j, v) for t, i, j, v in part], "at string, ia long, ja long, val double")
+        rows.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        q.processAllAvailable()
+    q.stop()
+    got = {(r.start.strftime("%H:%M"), r.ia, r.ja): r.val for r in spark.table("windows").collect()}
+    assert got == {("10:00", 1, 1): 5.0, ("10:05", 2, 1): 1.0, ("10:30", 1, 1): 9.0}
+
+
 def test_an_unconverged_vector_is_no_solution(spark, monkeypatch):
     from functools import partial
 
