@@ -148,6 +148,29 @@ def triple_product(matrix: DataFrame, k: DataFrame) -> DataFrame:
     return ak.join(left, "ia").groupBy(F.col("i2").alias("ia"), "ja").agg(F.sum(F.col("val") * F.col("kv")).alias("val"))
 
 
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A*B: a join and a sum."""
+    right = b.select(F.col("ia").alias("ja"), F.col("ja").alias("j2"), F.col("val").alias("bv"))
+    return a.join(right, "ja").groupBy("ia", F.col("j2").alias("ja")).agg(F.sum(F.col("val") * F.col("bv")).alias("val"))
+
+
+def gram_triple_product(b: DataFrame, k: DataFrame) -> DataFrame:
+    """K^T*(B*B^T)*K as (K^T*B)*(K^T*B)^T: B*B^T, which is dense where rows of B share a column, is not formed.
+
+    Infinite values keep the signs they have in B*B^T: terms of K^T*B are summed for each sign apart, and only
+    the rows of B*B^T that meet an infinite entry of K are formed."""
+    infinite = F.coalesce(F.abs("val") == float("inf"), F.lit(False))
+    finite, rest = k.where(~infinite), k.where(infinite)
+    left, term = finite.select("ia", F.col("ja").alias("i2"), F.col("val").alias("kv")), F.col("kv") * F.col("val")
+    kb = b.join(left, "ia").groupBy(F.col("i2").alias("ia"), "ja", F.signum(term).alias("sign")).agg(F.sum(term).alias("val")).drop("sign")
+    out = product(kb, transpose(kb))
+    if rest.isEmpty():
+        return out
+    lines = product(transpose(rest), product(b.join(rest.select("ia").distinct(), "ia", "left_semi"), transpose(b)))
+    mixed = product(lines, finite)
+    return compress(out.unionByName(mixed).unionByName(transpose(mixed)).unionByName(product(lines, rest)))
+
+
 def market_line(symmetric: bool = False) -> Column:
     """A line of a Matrix-Market coordinate file for (ia, ja, val)."""
     return F.format_string("%d %d %.17e", "ia", "ja", "val")
